@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space: blank and \t \n \v \f \r, as a Java / RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -65,3 +68,45 @@ def fixpoint(step: Callable[[DataFrame], tuple[DataFrame, bool]], start: DataFra
     while changed:
         state, changed = step(state)
     return state
+
+
+#: Texts are handed to Python functions in pieces of about so many bytes.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of rows whose texts have about PIECE_BYTES (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, side="right")))
+        yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
+        at = to
+
+
+def map_texts(df: DataFrame, text_col: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
+    """Apply a function of many texts at once, in Arrow batches.
+
+    ``make()`` runs once a task and gives a function from a list of texts (None for
+    null) to the columns of ``fields`` (DDL), each with one value a text. ``carry``:
+    columns of ``df`` to keep, under their names with ``__`` before."""
+    given = T.StructType.fromDDL(fields)
+    chosen = df.select(*[F.col(c).alias(f"__{c}") for c in carry], F.col(text_col).alias("__input"))
+    schema = T.StructType([*chosen.schema.fields[:-1], *given.fields])
+    arrow = to_arrow_schema(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = make()
+        for batch in batches:
+            for rows, texts in pieces(batch, batch.column(batch.num_columns - 1)):
+                made = apply(texts)
+                kept = rows.columns[:-1]
+                new = [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]
+                names = [*rows.schema.names[:-1], *arrow.names]
+                yield pa.RecordBatch.from_arrays([*kept, *new], names=names)
+
+    return chosen.mapInArrow(run, schema)

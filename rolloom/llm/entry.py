@@ -31,23 +31,61 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality import judge_quality
+
+    judged = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("__doc_id").alias("doc_id"), F.col("__lang").alias("lang"), "perplexity", "threshold", "trusted", "kept")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import place
 
     return place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import overlap_report
+
+    return overlap_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import RULE_SCHEMA, judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mixing": op3_mixing,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _SHARD_LIST = ", ".join(f"('{s}', {i})" for i, s in enumerate(SHARDS))
@@ -64,7 +102,7 @@ ORACLES: dict[str, str] = {
                           CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS skey,
                           ('0x' || substr(md5('17/' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS pos FROM documents),
         s AS (SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) AS n FROM d GROUP BY skey),
-        w AS (SELECT *, [3.0, 1.0, 2.0]::DOUBLE[][(n - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS most FROM s),
+        w AS (SELECT *, list_extract([3.0, 1.0, 2.0]::DOUBLE[], (n - 1) % 3 + 1) AS w, 2.0::DOUBLE * source_size AS most FROM s),
         p AS (SELECT 1.5::DOUBLE * sum(source_size) AS pool FROM s),
         f AS (SELECT a.skey, a.most, a.w, a.most / a.w AS ratio, (SELECT sum(least(b.most, b.w * a.most / a.w)) FROM w b) <= pool AS is_full FROM w a, p),
         l AS (SELECT (max(pool) - coalesce(sum(most) FILTER (is_full), 0)) / sum(w) FILTER (NOT is_full) AS level FROM f, p),
