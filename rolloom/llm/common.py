@@ -110,3 +110,15 @@ def map_texts(df: DataFrame, text_col: str, carry: Sequence[str], fields: str, m
                 yield pa.RecordBatch.from_arrays([*kept, *new], names=names)
 
     return chosen.mapInArrow(run, schema)
+
+
+#: Ids to drop are broadcast up to this number (8 to some 40 bytes each), and joined by
+#: shuffle beyond.
+MOST_DROPPED_BROADCAST = 1_000_000
+
+
+def drop_ids(df: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is not among ``dropped`` (one column); rows without an id stay."""
+    dropped = materialize(dropped.toDF("__dropped").where("__dropped is not null").distinct(), "dropped-ids")
+    side = F.broadcast(dropped) if dropped.count() <= MOST_DROPPED_BROADCAST else dropped
+    return df.join(side, F.col(id_col) == F.col("__dropped"), "left_anti")

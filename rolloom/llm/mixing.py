@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return src.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * level)).select("skey", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 20_000, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 4_000, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each document: ``doc_id, size, source_size, target, taken``, and
     ``epochs`` (whole copies) and ``cut`` (words of one more copy, from its start).
     ``carry``: columns to keep beside these, under their names with ``__`` before."""
