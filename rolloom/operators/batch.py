@@ -77,7 +77,7 @@ def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None,
 
 def repeat(df: DataFrame, times: int = 2, interleave: bool = True) -> DataFrame:
     """Each row ``times`` times: side by side (interleave) or whole batches in turn."""
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).cast("long"))
+    out = df.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))))
     if interleave:
         return out.withColumn(ROW, F.col(ROW) * times + F.col("rep"))
     return out.withColumn(ROW, F.col("rep") * size(df) + F.col(ROW))
@@ -85,7 +85,7 @@ def repeat(df: DataFrame, times: int = 2, interleave: bool = True) -> DataFrame:
 
 def repeat_by(df: DataFrame, times: Column) -> DataFrame:
     """Each row as often as ``times`` says (0: not at all); ``rep`` counts them."""
-    return df.withColumn("__n", times.cast("int")).where("__n > 0").withColumn("rep", F.explode(F.expr("sequence(0, __n - 1)")).cast("long")).drop("__n")
+    return df.withColumn("__n", times.cast("int")).where("__n > 0").withColumn("rep", F.explode(F.expr("sequence(0L, __n - 1L)"))).drop("__n")
 
 
 def unfold_chunks(df: DataFrame, parts: int, columns: Sequence[str]) -> DataFrame:
@@ -196,7 +196,7 @@ def minibatches(df: DataFrame, rows: int, epochs: int, seed: int = 0) -> DataFra
     n = size(df)
     if n % rows:
         raise ValueError(f"{n} rows don't make batches of {rows}")
-    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).cast("long"))
+    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), "epoch", ROW))
     ranked = out.withColumn("__rank", F.row_number().over(Window.partitionBy("epoch").orderBy(key, ROW)) - 1)
     return ranked.withColumn("minibatch", F.floor(F.col("__rank") / rows).cast("long")).drop("__rank")

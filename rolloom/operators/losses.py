@@ -62,6 +62,8 @@ def _result(tokens: DataFrame, loss: Column, mode: str, metrics: dict[str, Colum
     if weighted and "weight" in tokens.columns:
         loss = loss * F.col("weight")
     scored = tokens.withColumn("__loss", loss)
+    if not metrics:
+        return aggregate_loss(scored, "__loss", mode)
     told = scored.agg(*[mean_over_mask(m).alias(k) for k, m in metrics.items()])
     return aggregate_loss(scored, "__loss", mode).join(F.broadcast(told))  # a row each
 

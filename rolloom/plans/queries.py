@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import divergence, parsing, scores
 from ..functions import tokens as tk
-from ..operators import advantage, balance, batch, correction, curation, groupwise, losses, messages, metrics
+from ..operators import advantage, balance, batch, correction, curation, datasets, groupwise, losses, messages, metrics
 from ..sources import files
 from ..streaming import queue as sample_queue
 from ..streaming import replay
@@ -221,12 +221,12 @@ def policy_agreement(spark, d):
 
 _G = "avg(score) OVER g AS gm, stddev_samp(score) OVER g AS gs, var_samp(score) OVER g AS gv, count(*) OVER g AS gn"
 _STATS = f"{SAMPLES_SQL}, st AS (SELECT *, {_G} FROM smp WINDOW g AS (PARTITION BY uid))"
-_ID = "uid, row_id, round(score, 4) + 0.0 AS score"
+_ID = "uid, row_id"
 
 
 def _outcome(name: str, **options) -> Query:
     def run(spark, d):
-        cols = ["uid", "row_id", "score", "advantage"]
+        cols = ["uid", "row_id", "advantage"]
         return rounded(advantage.compute_advantage(samples(spark, d), name, **options).select(cols))
 
     return run
@@ -264,7 +264,7 @@ def adv_grpo_passk(spark, d):
     s = samples(spark, d)
     w = Window.partitionBy("uid")
     several = s.withColumn("k", F.count(F.lit(1)).over(w)).where("k > 1").drop("k")
-    return rounded(advantage.best_of_k(several).select("uid", "row_id", "score", "advantage"))
+    return rounded(advantage.best_of_k(several).select("uid", "row_id", "advantage"))
 
 
 _GAE = f"""WITH RECURSIVE {TOKENS_SQL}, last AS (SELECT row_id, max(t) AS t FROM tok GROUP BY row_id),
@@ -429,7 +429,7 @@ def loss_value(spark, d):
 _MODES = {"token-mean": _TM, "seq-mean-token-sum": _STS, "seq-mean-token-sum-norm": f"{_STS} / (SELECT max(c) FROM (SELECT count(*) AS c FROM x GROUP BY row_id))", "seq-mean-token-mean": _STM}
 
 
-@query(f"WITH {TOKENS_SQL}, x AS (SELECT *, reward AS loss FROM tok) " + " UNION ALL ".join(f"SELECT '{m}' AS mode, {r4(e, 'loss')} FROM x" for m, e in _MODES.items()))
+@query(f"WITH {TOKENS_SQL}, x AS (SELECT *, reward AS loss FROM tok) " + " UNION ALL ".join(f"SELECT '{m}' AS mode, {r4(f'any_value({e})' if e.startswith('(SELECT') else e, 'loss')} FROM x" for m, e in _MODES.items()))
 def loss_aggregation_modes(spark, d):
     t, out = tokens(spark, d), None
     for m in losses.MODES:
@@ -705,9 +705,9 @@ def _convs(spark, d):
 _FIRST = "first AS (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations WHERE role <> 'system' GROUP BY conv_id)"
 
 
-@query(f"""WITH {_FIRST}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS k,
+@query(f"""WITH {_FIRST}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS k,
       count(*) FILTER (role <> 'system') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS said FROM conversations)
-    SELECT conv_id, k - CASE WHEN first_role = 'assistant' THEN 1 ELSE 0 END AS assistant_turn_index, at AS source_message_index, at AS history_size, length(text) AS target_size
+    SELECT conv_id, k - CASE WHEN first_role = 'assistant' THEN 1 ELSE 0 END AS assistant_turn_index, pos AS source_message_index, pos AS history_size, length(text) AS target_size
     FROM n JOIN first USING (conv_id) WHERE role = 'assistant' AND NOT (first_role = 'assistant' AND said = 1)""")
 def expand_turns(spark, d):
     t = messages.expand_turns(_convs(spark, d))
@@ -810,24 +810,23 @@ def micro_batches(spark, d):
     return balance.dynamic_batches(n, most).select("row_id", "seqlen", "bin")
 
 
-@query("SELECT round((6.0 * (28 * (3584 * 18944 * 3 + 3584 * (3584 + 2 * 512 + 3584)) + 2 * 152064::DOUBLE * 3584) * sum(n) + 6.0 * 128 * 28 * 28 * sum(n * n)) / 10.0 / 1e12, 4) AS tflops FROM (SELECT count(*)::DOUBLE AS n FROM events GROUP BY user_id)")
+@query("SELECT round((6.0::DOUBLE * (28::DOUBLE * (3584::DOUBLE * 18944 * 3 + 3584 * (3584 + 2 * 512 + 3584)) + 2 * 152064::DOUBLE * 3584) * sum(n) + 6.0 * 128 * 28 * 28 * sum(n * n)) / 10.0 / 1e12, 4) AS tflops FROM (SELECT count(*)::DOUBLE AS n FROM events GROUP BY user_id)")
 def model_flops(spark, d):
     n = table(spark, d, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("n"))
     return rounded(balance.flops(n, "n", 10.0, 28, 3584, 28, 4, 128, 18944, 152064))
 
 
-@query("SELECT conv_id, turn, side, text FROM (SELECT conv_id, turn, unnest(['chosen', 'rejected']) AS side, unnest([text, upper(text)]) AS text FROM conversations WHERE role = 'assistant')")
+@query("SELECT conv_id, turn, side, text FROM (SELECT conv_id, turn, unnest(['chosen', 'rejected']) AS side, unnest([text, 'no: ' || text]) AS text FROM conversations WHERE role = 'assistant')")
 def preference_unpivot(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant'")
-    each = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text")), F.struct(F.lit("rejected").alias("side"), F.upper("text").alias("text")))).alias("x")
+    each = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text")), F.struct(F.lit("rejected").alias("side"), F.concat(F.lit("no: "), "text").alias("text")))).alias("x")
     return c.select("conv_id", "turn", each).select("conv_id", "turn", "x.*")
 
 
-@query("SELECT conv_id, turn, [{'role': 'user', 'content': text || ' Answer after ####.'}] AS prompt, 'math' AS ability, {'style': 'rule', 'ground_truth': length(text)::VARCHAR} AS reward_model FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, 'user' AS role, text || ' Answer after ####.' AS content, 'rule' AS style, length(text)::VARCHAR AS ground_truth FROM conversations WHERE role = 'user'")
 def prompt_rows(spark, d):
-    c = table(spark, d, "conversations").where("role = 'user'")
-    prompt = F.array(F.struct(F.lit("user").alias("role"), F.concat("text", F.lit(" Answer after ####.")).alias("content")))
-    return c.select("conv_id", "turn", prompt.alias("prompt"), F.lit("math").alias("ability"), F.struct(F.lit("rule").alias("style"), F.length("text").cast("string").alias("ground_truth")).alias("reward_model"))
+    rows = datasets.prompts(table(spark, d, "conversations").where("role = 'user'"), "conversations", F.concat("text", F.lit(" Answer after ####.")), F.length("text").cast("string"))
+    return rows.select("extra_info.index", "turn", F.explode("prompt").alias("p"), "reward_model.*", "conv_id").select("conv_id", "turn", "p.role", "p.content", "style", "ground_truth")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE coalesce(length(text), 1001) <= 1000")

@@ -27,8 +27,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("uid"),
         (F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1).cast("long").alias("t"),
         F.when(i % 7 != 0, 1).otherwise(0).alias("mask"),
-        (F.col("value") / 100).alias("reward"),
-        (F.col("value") / 200).alias("value"),
+        (F.col("value") / 97.3).alias("reward"),
+        (F.col("value") / 191.7).alias("value"),
         ((F.col("value") - 40) / 50).alias("advantage"),
         (-0.05 - (i % 13) / 10.0).alias("logp"),
         (-0.05 - (i % 11) / 10.0).alias("old_logp"),
@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = """tok AS (
     SELECT user_id * 10 + list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS row_id, user_id AS uid,
            row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS t,
-           CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END AS mask, value / 100 AS reward, value / 200 AS value, (value - 40) / 50 AS advantage,
+           CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END AS mask, value / 97.3::DOUBLE AS reward, value / 191.7::DOUBLE AS value, (value - 40) / 50 AS advantage,
            -0.05::DOUBLE - (event_id % 13) / 10.0::DOUBLE AS logp, -0.05::DOUBLE - (event_id % 11) / 10.0::DOUBLE AS old_logp,
            -0.05::DOUBLE - (event_id % 17) / 16.0::DOUBLE AS rollout_logp, 0.1::DOUBLE + (event_id % 5) / 20.0::DOUBLE AS sum_pi2
     FROM events)"""
@@ -49,19 +49,19 @@ TOKENS_SQL = """tok AS (
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("mask", "reward", "value", "logp", "old_logp")
     rows = tokens(spark, sf_dir).groupBy("row_id", "uid").agg(F.array_sort(F.collect_list(F.struct("t", *cols))).alias("a"))
-    return rows.select("row_id", "uid", *[F.transform("a", lambda x, c=c: x[c]).alias(f"{c}s") for c in cols])
+    return rows.select("row_id", "uid", *[F.col("a")[c].alias(f"{c}s") for c in cols])
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.col("l_orderkey").alias("uid"), (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("row_id"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000).alias("score"),
+        F.col("l_orderkey").alias("uid"), (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("row_id"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1234.567).alias("score"),
         (F.col("l_tax") * 10).alias("bonus"), F.col("l_quantity").alias("n"),
     )
 
 
 SAMPLES_SQL = """smp AS (
-    SELECT l_orderkey AS uid, l_orderkey * 100000 + l_partkey AS row_id, l_extendedprice * (1 - l_discount) / 1000 AS score,
+    SELECT l_orderkey AS uid, l_orderkey * 100000 + l_partkey AS row_id, l_extendedprice * (1 - l_discount) / 1234.567::DOUBLE AS score,
            l_tax * 10 AS bonus, l_quantity AS n FROM lineitem)"""
 
 
