@@ -241,3 +241,31 @@ def text_reject_reason(text: Column, allowed: list[str]) -> Column:
         F.when(text.rlike(r"(?m)^\s*(user|tool|assistant)\s*:"), "transcript_replay"), F.when(F.contains(text, F.lit("```")), "markdown_tool_or_fence"),
         F.when(F.contains(F.lower(text), F.lit("get_reservations")), "known_fake_tool_get_reservations"), *[F.concat(F.lit(f"{k}:"), strange(p)) for k, p in named],
     )
+
+
+def channel_calls(text: Column) -> Column:
+    """``name, arguments`` of calls in channel tags, analysis left out."""
+    shown = without_analysis(text)
+    names = F.regexp_extract_all(shown, F.lit(CHANNEL_CALL), F.lit(1))
+    bodies = F.regexp_extract_all(shown, F.lit(CHANNEL_CALL), F.lit(2))
+    return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), b.alias("arguments")))
+
+
+#: Fixed form of a call in channel tags.
+CHANNEL_CALL = r"(?s)<\|start\|>assistant<\|channel\|>[^<]* to=functions\.([^<]+) <\|constrain\|>json<\|message\|>(.*?)<\|call\|>"
+
+
+def without_analysis(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)(<\|start\|>assistant)?<\|channel\|>analysis<\|message\|>.*?<\|end\|>", "")
+
+
+def typed_argument(value: Column, kind: Column) -> Column:
+    """An argument's text as JSON of the kind that its schema names; what doesn't fit stays
+    a text."""
+    quoted = F.to_json(F.struct(value.alias("v")))
+    text = F.regexp_extract(quoted, r'(?s)^\{"v":(.*)\}$', 1)
+    low = F.lower(F.trim(value))
+    number = F.when(kind == "integer", F.trim(value).try_cast("long").cast("string")).when(kind == "number", F.trim(value).try_cast("double").cast("string"))
+    truth = F.when((kind == "boolean") & low.isin("true", "false"), low)
+    nested = F.when(kind.isin("object", "array") & F.try_parse_json(value).isNotNull(), F.trim(value))
+    return F.coalesce(F.when(low == "null", "null"), number, truth, nested, text)

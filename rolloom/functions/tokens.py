@@ -124,3 +124,23 @@ def at_last_valid(score: Column, mask: Column) -> Column:
     n = mask_size(mask).cast("int")
     place = F.when(n > 0, n - 1).otherwise(F.size(mask) - 1)
     return F.transform(mask, lambda m, i: F.when(i == place, score.cast("double")).otherwise(F.lit(0.0)))
+
+
+def log_sum_exp(logits: Column) -> Column:
+    top = F.array_max(logits)
+    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+
+
+def entropy(logits: Column) -> Column:
+    """Shannon entropy of the distribution that stored logits give."""
+    z = log_sum_exp(logits)
+    return z - F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - z) * x)
+
+
+def sum_of_squared_probabilities(logits: Column) -> Column:
+    return F.exp(log_sum_exp(F.transform(logits, lambda x: x * 2.0)) - 2.0 * log_sum_exp(logits))
+
+
+def token_log_probability(logits: Column, token: Column) -> Column:
+    """Log-probability of a token (counted from 0)."""
+    return F.get(logits, token) - log_sum_exp(logits)

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rolloom.functions import parsing, scores
-from rolloom.operators import balance, correction, curation, diagnostics, losses, messages, metrics
+from rolloom.functions import tokens as tk
+from rolloom.operators import balance, correction, curation, datasets, diagnostics, episodes, losses, messages, metrics
 from rolloom.sources import files
 from rolloom.streaming.queue import SampleQueue, capacity, must_pause, run_queue, run_queue_batch
 
@@ -245,3 +246,62 @@ def test_records_from_json_of_both_kinds(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"k": 3}\n\n{"k": 4}\n')
     got = files.read_records(spark, str(tmp_path), "k int").orderBy("k").collect()
     assert [r.k for r in got] == [1, 2, 3, 4]
+
+
+def test_logit_functions(spark):
+    x = np.array([0.5, -1.0, 2.0])
+    p = np.exp(x) / np.exp(x).sum()
+    row = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(tk.entropy(F.col("x")), tk.sum_of_squared_probabilities(F.col("x")), tk.token_log_probability(F.col("x"), F.lit(2))).first()
+    assert np.allclose(list(row), [-(p * np.log(p)).sum(), (p**2).sum(), np.log(p[2])])
+
+
+def test_channel_and_typed_calls(spark):
+    text = "<|channel|>analysis<|message|>secret<|end|><|start|>assistant<|channel|>commentary to=functions.f <|constrain|>json<|message|>{\"a\":1}<|call|>"
+    row = spark.createDataFrame([(text,)], "t string").select(parsing.channel_calls(F.col("t"))).first()[0]
+    assert [(c.name, c.arguments) for c in row] == [("f", '{"a":1}')]
+    cases = [("5", "integer", "5"), ("x", "integer", '"x"'), ("True", "boolean", "true"), ("[1]", "array", "[1]"), ("a\"b", "string", '"a\\"b"'), ("null", "string", "null")]
+    df = spark.createDataFrame([(i, v, k) for i, (v, k, _) in enumerate(cases)], "i int, v string, k string").orderBy("i")
+    assert [r[0] for r in df.select(parsing.typed_argument(F.col("v"), F.col("k"))).collect()] == [w for *_, w in cases]
+
+
+def test_episode_rewards(spark):
+    ddl = "i int, label string, expected array<string>, n int, done array<string>, text string, final_reward double, over boolean, runtime string, scores array<double>"
+    rows = [
+        (0, "refuse", None, 0, [], "I cannot", None, False, "", None),
+        (1, "refuse", None, 0, ["book_reservation"], "I cannot", None, False, "", [0.2, 0.7]),
+        (2, "", ["a"], 0, ["a", "b"], "", 0.5, True, "official_gym", None),
+        (3, "", None, 1, ["send_certificate"], "", None, True, "official_gym", None),
+    ]
+    df = spark.createDataFrame(rows, ddl)
+    r = episodes.task_reward("label", "expected", "n", "done", "text")
+    got = df.select("i", r.alias("r"), episodes.best_reward(["final_reward"], "over", "runtime", "scores", r).alias("b")).orderBy("i").collect()
+    assert [x.r for x in got] == [1.0, 0.0, 1.0, 1.0]
+    assert [(x.b.reward, x.b.source.split("_")[0]) for x in got] == [(1.0, "legacy"), (0.7, "propagated"), (0.5, "official"), (0.0, "official")]
+
+
+def test_teacher_rows(spark):
+    df = spark.createDataFrame([(0, "u", 1.0, "p", "good", None), (1, "u", 0.0, "p", "bad", " "), (2, "v", 0.0, "p", "bad", "try")], "row_id long, uid string, score double, prompt string, response string, feedback string")
+    got = episodes.teacher_rows(df, 1.0, note=episodes.feedback(df)).orderBy("row_id").collect()
+    assert [r.teacher_prompt for r in got] == [None, "p\n\nA correct solution:\ngood", "p\n\nFeedback:\ntry"]
+    assert episodes.feedback(df.drop("feedback")) is not None
+
+
+def test_dataset_maps(spark):
+    df = spark.createDataFrame([(0, "q", "#### 1,000", "a", "b")], "k long, question string, answer string, chosen string, rejected string")
+    row = datasets.prompts(df, "s", F.col("question"), datasets.after_mark(F.col("answer")), tool="calc").first()
+    assert row.reward_model.ground_truth == "1000" and row.prompt[0].content == "q" and row.extra_info.tools_kwargs == '{"calc":{"create_kwargs":{"ground_truth":"1000"}}}'
+    assert [(r.side, r.response) for r in datasets.preference_rows(df).collect()] == [("chosen", "a"), ("rejected", "b")]
+    many = spark.range(8).withColumnRenamed("id", "k")
+    assert datasets.positional_split(many, 0.75, "k").where("split = 'train'").count() == 6
+    shown = datasets.answered(df, F.col("question"), F.col("answer"), "sys").select(datasets.renamed_roles(F.col("messages"), {"user": "human"})).first()[0]
+    assert [m.role for m in shown] == ["system", "human", "assistant"]
+
+
+def test_pretokenized_rows(spark):
+    df = spark.createDataFrame([([1, 2, 3], [1, 0, 1])], "input_ids array<int>, loss_mask array<int>")
+    assert datasets.pretokenized(df, 3).first().loss_mask == [0, 0, 1]
+    with pytest.raises(Exception, match="valid"):
+        datasets.pretokenized(df, 2).collect()
+    pair = spark.createDataFrame([([1], [2, 3], [4])], "prompt_ids array<int>, chosen_ids array<int>, rejected_ids array<int>")
+    row = datasets.reward_pairs(pair, 3, 0).first()
+    assert row.input_ids == [[1, 2, 3], [1, 4, 0]] and row.attention_mask == [[1, 1, 1], [1, 1, 0]]
