@@ -71,7 +71,7 @@ def fixpoint(step: Callable[[DataFrame], tuple[DataFrame, bool]], start: DataFra
 
 
 #: Texts are handed to Python functions in pieces of about so many bytes.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, list]]:

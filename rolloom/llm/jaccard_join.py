@@ -9,14 +9,19 @@ parts of three pieces each; some part holds at most one difference, so leaving o
 one piece after another and hashing the two that remain gives both sets a signature
 in common. Signatures over two empty pieces are not made.
 
-Work stays bounded by two rules. A signature with more than ``most`` classes is hot:
-only its smallest class is paired with the others. ``n1`` is larger than the
-pigeonhole asks, and a class counts the parts it cannot rely on (an empty or a hot
-signature); while some part is left for either of two classes, the pair is found by
-a small group. Pairs in which neither class has one left are found by an exact
-prefix-filter join among just those classes, after the pairs above have been merged,
-so that members of one component are not paired again. Nothing is dropped: each
-linked pair either is verified or already lies within one component.
+Work stays bounded as follows. Frequent shingles (those of passages that many texts
+share) are left out of the domain: any fixed set may be, as it takes no difference
+away, and which ones are is learned from a sample of the texts, so it steers cost and
+never results. A signature with more than ``most`` classes is hot: only its smallest
+class is paired with the others. ``n1`` is larger than the pigeonhole asks, and a class
+counts the parts it cannot rely on (an empty or a hot signature); while some part is
+left for either of two classes, the pair is found by a small group. Classes that have
+none left, such as those that consist of frequent shingles, go through the same once
+more among themselves over the whole domain. Pairs in which neither class has a part
+left even then are found by an exact prefix-filter join among just those classes, rare
+shingles first, after all pairs above have been merged, so that members of one
+component are not paired again. Nothing is dropped: each linked pair either is verified
+or already lies within one component.
 
 Signatures travel packed, by part of the signature range; sets travel for
 verification only, for classes with a candidate (a filter of bounded size tells
@@ -35,10 +40,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, partitions, pieces
+from .common import drop_ids, map_texts, materialize, pieces
 from .graph import components
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -57,22 +62,47 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; those seen are kept, up to a bound."""
+def _byte_codes() -> np.ndarray:
+    """A fixed 64-bit number for each byte; A-Z as a-z, white space 0."""
+    codes = mix64(np.arange(1, 257, dtype=np.uint64) * _C1)
+    codes[65:91] = codes[97:123]
+    codes[[9, 10, 11, 12, 13, 32]] = 0
+    return codes
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
+_CODES = _byte_codes()
+_BASE, _INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
 
-def shingle_rows(texts: list, known: WordHashes, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of a base and of its inverse, modulo 2 ** 64; kept for the task's next texts."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64))]) for x in (_BASE, _INVERSE)]
+    return _POWERS
+
+
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the number of words of each text: a
+    polynomial over the bytes of each word, from running sums over all texts at once."""
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    begins = np.cumsum([0] + [len(x) + 1 for x in parts])
+    codes = _CODES[raw]
+    inside = np.concatenate([[0], (codes != 0).view(np.int8), [0]])
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[: len(raw)])])
+    hashes = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(start, begins))
+
+
+def shingle_rows(texts: list, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All shingles in order: hashes, their text's number, and words of each text.
     A text of fewer than ``size`` words has one shingle, of all its words."""
-    parts = [split_words(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    flat = np.fromiter((known[w] for p in parts for w in p), np.uint64, int(sizes.sum()))
+    flat, sizes = word_hashes(texts)
     return (*shingle_hashes(flat, sizes, size), sizes)
 
 
@@ -90,11 +120,15 @@ def shingle_hashes(flat: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.n
     return mix64(acc), doc
 
 
-def shingle_sets(texts: list, known: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list) -> list[np.ndarray]:
     """The sorted distinct shingles of each text."""
-    hashes, doc, sizes = shingle_rows(texts, known)
+    hashes, doc, _ = shingle_rows(texts)
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return [np.unique(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        x = np.sort(hashes[a:b])
+        out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x)
+    return out
 
 
 def class_id(s: np.ndarray) -> int | None:
@@ -144,21 +178,38 @@ def signatures(s: np.ndarray, doc: np.ndarray, sizes: np.ndarray, upper: int, pe
     return np.concatenate(made), np.concatenate(sets), slack
 
 
-def _per_text(df: DataFrame, text_col: str, carry, fields, make):
-    return map_texts(df, text_col, carry, fields, make)
+def frequent_filter(docs: DataFrame, text_col: str, one_in: int = 8, least: int = 4) -> tuple[np.ndarray, int]:
+    """A filter (see ``_filter_bits``) of shingles that ``least`` distinct texts of a sample,
+    one in ``one_in`` by hash, have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in pieces(batch, batch.column(0)):
+                sets = shingle_sets(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["shingle"])
+
+    h = F.xxhash64(F.col(text_col))
+    some = docs.where(F.pmod(h, F.lit(one_in)) == 0).groupBy(h.alias("h")).agg(F.first(text_col).alias("text")).select("text")
+    often = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= least).select("shingle")
+    return _filter_bits(materialize(often, "jaccard-frequent"), "shingle")
+
 
+def outside(flat: np.ndarray, filt: np.ndarray) -> np.ndarray:
+    """Which elements the filter does not hold."""
+    spot = (flat & np.uint64(8 * len(filt) - 1)).astype(np.int64)
+    return (filt[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 0
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int, sent) -> DataFrame:
     """``__id, n, cls, slack`` for every row (cls null without shingles)."""
 
     def make():
-        known = WordHashes()
-
         def run(texts: list) -> dict:
-            sets = shingle_sets(texts, known)
+            sets = shingle_sets(texts)
             sizes = np.array([len(s) for s in sets], np.int64)
-            flat, doc = (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.repeat(np.arange(len(sets)), sizes)
-            slack = [signatures(flat, doc, sizes, u, percent)[2] for u in (0, 1)]
+            flat, doc = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+            rare = outside(flat, sent.value)
+            slack = [signatures(flat[rare], doc[rare], sizes, u, percent)[2] for u in (0, 1)]
             return {"n": sizes, "cls": [class_id(s) for s in sets], "slack0": slack[0].astype(np.int32), "slack1": slack[1].astype(np.int32)}
 
         return run
@@ -169,16 +220,46 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
 PACKED = "bucket int, sigs binary, owners binary, classes binary"
 
 
-def _packed_signatures(docs: DataFrame, text_col: str, percent: int, buckets: int) -> DataFrame:
+def _pack(sets: list[np.ndarray], ids: list[int], percent: int, buckets: int, filt: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Signatures as rows of many: bucket, 5-byte signatures, 2-byte numbers of their
     classes (twice the number, and 1 for the upper instance), the classes."""
+    for at in range(0, len(sets), 30_000):
+        some, cls = sets[at : at + 30_000], np.array(ids[at : at + 30_000], np.int64)
+        sizes = np.array([len(s) for s in some], np.int64)
+        flat, doc = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
+        if filt is not None:
+            rare = outside(flat, filt)
+            flat, doc = flat[rare], doc[rare]
+        both = [signatures(flat, doc, sizes, u, percent)[:2] for u in (0, 1)]
+        sig = np.concatenate([b[0] for b in both])
+        own = np.concatenate([b[1] * 2 + u for u, b in enumerate(both)])
+        if not len(sig):
+            continue
+        bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        short = np.ascontiguousarray(sig[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+        own = own[order]
+        rows: list[list] = [[], [], [], []]
+        for b in np.flatnonzero(np.diff(ends)):
+            x, y = ends[b], ends[b + 1]
+            used, number = np.unique(own[x:y] >> 1, return_inverse=True)
+            rows[0].append(int(b))
+            rows[1].append(short[x:y].tobytes())
+            rows[2].append((number * 2 + (own[x:y] & 1)).astype(np.uint16).tobytes())
+            rows[3].append(cls[used].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "sigs", "owners", "classes"])
+
+
+def _packed_signatures(docs: DataFrame, text_col: str, percent: int, buckets: int, sent) -> DataFrame:
+    """Packed signatures of all texts over the shingles that aren't frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             for _, texts in pieces(batch, batch.column(0)):
                 fresh, ids = [], []
-                for s in shingle_sets(texts, known):
+                for s in shingle_sets(texts):
                     c = class_id(s)
                     if c is not None and c not in seen:  # copies within a task go once
                         if len(seen) > 1_000_000:
@@ -186,33 +267,35 @@ def _packed_signatures(docs: DataFrame, text_col: str, percent: int, buckets: in
                         seen.add(c)
                         fresh.append(s)
                         ids.append(c)
-                for at in range(0, len(fresh), 30_000):
-                    some, cls = fresh[at : at + 30_000], np.array(ids[at : at + 30_000], np.int64)
-                    sizes = np.array([len(s) for s in some], np.int64)
-                    flat, doc = np.concatenate(some), np.repeat(np.arange(len(some)), sizes)
-                    both = [signatures(flat, doc, sizes, u, percent)[:2] for u in (0, 1)]
-                    sig = np.concatenate([b[0] for b in both])
-                    own = np.concatenate([b[1] * 2 + u for u, b in enumerate(both)])
-                    if not len(sig):
-                        continue
-                    bucket = ((sig >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    short = np.ascontiguousarray(sig[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-                    own = own[order]
-                    rows: list[list] = [[], [], [], []]
-                    for b in np.flatnonzero(np.diff(ends)):
-                        x, y = ends[b], ends[b + 1]
-                        used, number = np.unique(own[x:y] >> 1, return_inverse=True)
-                        rows[0].append(int(b))
-                        rows[1].append(short[x:y].tobytes())
-                        rows[2].append((number * 2 + (own[x:y] & 1)).astype(np.uint16).tobytes())
-                        rows[3].append(cls[used].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "sigs", "owners", "classes"])
+                yield from _pack(fresh, ids, percent, buckets, sent.value)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, PACKED)
 
 
+def _packed_sets(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Packed signatures of packed sets, over the whole domain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _pack([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)], batch.column(0).to_pylist(), percent, buckets, None)
+
+    return sets.select("cls", "shingles").mapInArrow(run, PACKED)
+
+
+def _set_slack(sets: DataFrame, percent: int) -> DataFrame:
+    """``cls, slack0, slack1`` of packed sets over the whole domain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            sizes = np.array([len(s) for s in some], np.int64)
+            flat, doc = np.concatenate([*some, np.empty(0, np.uint64)]), np.repeat(np.arange(len(some)), sizes)
+            slack = [signatures(flat, doc, sizes, u, percent)[2].astype(np.int32) for u in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slack[0]), pa.array(slack[1])], names=["cls", "slack0", "slack1"])
+
+    return sets.select("cls", "shingles").mapInArrow(run, "cls long, slack0 int, slack1 int")
+
+
 FOUND = "kind int, a long, b long, n long"
 
 
@@ -290,11 +373,11 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen, filt = WordHashes(), set(), sent.value
+        seen, filt = set(), sent.value
         for batch in batches:
             for _, texts in pieces(batch, batch.column(0)):
                 ids, packed = [], []
-                for s in shingle_sets(texts, known):
+                for s in shingle_sets(texts):
                     c = class_id(s)
                     if c is None or c in seen:
                         continue
@@ -308,15 +391,16 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "shingles"])
 
     sets = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, shingles binary")
-    return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
+    return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).withColumn("n", F.length("shingles") / 8), "jaccard-sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link."""
+    """The pairs ``a, b`` that link. Sizes are compared before any set travels."""
+    sizes = sets.select("cls", "n")
+    near = pairs.select("a", "b").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    near = near.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b")
     left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    sized = pairs.select("a", "b").join(left, "a").join(right, "b")
-    short, long = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    sized = sized.where(short * 100 >= long * percent)
+    sized = near.join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,21 +416,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _prefix_pairs(weak: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of weak classes of different components that share a shingle of their
-    prefixes: the least (1 - similarity) * size + 1 shingles by hash."""
+    prefixes: the (1 - similarity) * size + 1 shingles that the fewest weak classes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, sizes = [], [], []
-            for c, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = np.frombuffer(s.as_buffer(), np.uint64)
-                n = len(s) - -(-len(s) * percent // 100) + 1
-                ids += [c] * n
-                sizes += [len(s)] * n
-                out.append(s[:n].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)), pa.array(sizes, pa.int64())], names=["cls", "shingle", "size"])
-
-    own = sets.join(weak, "cls", "left_semi").select("cls", "shingles").mapInArrow(run, "cls long, shingle long, size long")
-    own = own.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+            some = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            sizes = np.array([len(x) for x in some], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), sizes)), pa.array(np.concatenate([*some, np.empty(0, np.uint64)]).view(np.int64))], names=["cls", "shingle"])
+
+    own = sets.join(weak, "cls", "left_semi").select("cls", "shingles").mapInArrow(run, "cls long, shingle long")
+    often = own.groupBy("shingle").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))
+    n = F.count("*").over(Window.partitionBy("cls"))
+    ranked = own.join(often, "shingle").withColumn("rank", rank).withColumn("size", n)
+    prefix = ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("cls", "shingle", "size")
+    own = prefix.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     own = materialize(own, "jaccard-prefixes")
     mixed = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     own = own.join(mixed, "shingle", "left_semi")
@@ -364,22 +448,31 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, most: int = 24, bucket_entries: int = 1_500_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row, and ``n_links`` of its class
     (links that were verified; links within a component need not all be)."""
-    rows = materialize(_classes(docs, id_col, text_col, percent), "jaccard-classes")
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_filter(docs, text_col)[0])  # 16 MB at most
+    rows = materialize(_classes(docs, id_col, text_col, percent, sent), "jaccard-classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(96, -(-total // bucket_entries))
-    packed = _packed_signatures(docs, text_col, percent, buckets)
     search = _search_bucket(most)
-    found = materialize(packed.groupBy("bucket").applyInArrow(search, FOUND), "jaccard-found")
-    pairs = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "jaccard-pairs")
-    hot = found.where("kind = 1").groupBy(F.col("a").alias("cls"), "b").agg(F.sum("n").alias("hot"))
+
+    def found_by(packed: DataFrame, slack: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs with their numbers of signatures, and the classes with no part to rely on."""
+        found = materialize(packed.groupBy("bucket").applyInArrow(search, FOUND), "jaccard-found")
+        pairs = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")), "jaccard-pairs")
+        hot = found.where("kind = 1").groupBy(F.col("a").alias("cls"), "b").agg(F.sum("n").alias("hot"))
+        hot = hot.groupBy("cls").agg(F.sum(F.when(F.col("b") == 0, F.col("hot"))).alias("hot0"), F.sum(F.when(F.col("b") == 1, F.col("hot"))).alias("hot1"))
+        weak = slack.join(hot, "cls", "left").where((F.col("slack0") <= F.coalesce("hot0", F.lit(0))) | (F.col("slack1") <= F.coalesce("hot1", F.lit(0))))
+        return pairs, materialize(weak.select("cls"), "jaccard-weak")
+
     each = rows.where("cls is not null").groupBy("cls").agg(F.min("slack0").alias("slack0"), F.min("slack1").alias("slack1"))
-    by_class = hot.groupBy("cls").agg(F.sum(F.when(F.col("b") == 0, F.col("hot"))).alias("hot0"), F.sum(F.when(F.col("b") == 1, F.col("hot"))).alias("hot1"))
-    weak = each.join(by_class, "cls", "left").where((F.col("slack0") <= F.coalesce("hot0", F.lit(0))) | (F.col("slack1") <= F.coalesce("hot1", F.lit(0)))).select("cls")
-    weak = materialize(weak, "jaccard-weak")
+    pairs, weak = found_by(_packed_signatures(docs, text_col, percent, buckets, sent), each)
     wanted = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(weak).distinct(), "jaccard-wanted")
     sets = _sets_of(docs, text_col, wanted)
+    weak_sets = sets.join(weak, "cls", "left_semi")
+    again, weak = found_by(_packed_sets(weak_sets, percent, buckets), _set_slack(weak_sets, percent))
+    pairs = materialize(pairs.union(again).groupBy("a", "b").agg(F.max("n").alias("n")), "jaccard-pairs")
 
-    # first each class with the partner it shares most signatures with, then what is still apart
+    # first each class with the partner it shares most signatures with, and with the
+    # smallest; then what is still apart
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "n").union(pairs.select("b", "a", "n"))
     best = ends.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -389,8 +482,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     rest = _apart(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels)
     more = materialize(_verify(rest, sets, percent), "jaccard-links")
-    links = links.union(more)
     if not more.isEmpty():
+        links = links.union(more)
         labels = components(links)
     last = materialize(_verify(_apart(_prefix_pairs(weak, sets, labels, percent), labels), sets, percent), "jaccard-links")
     if not last.isEmpty():
@@ -407,13 +500,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: the row with the least
-    id stays (one of several equal ids), and every row without shingles."""
-    parts = jaccard_components(docs, id_col, text_col, **options)
-    stays = parts.where((F.col("n_shingles") == 0) | F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("n_shingles").alias("__n")).distinct()
-    marked = docs.join(stays, F.col(id_col).eqNullSafe(F.col("__id")), "inner")
-    single = marked.where("__n > 0").dropDuplicates([id_col]).unionByName(marked.where("__n = 0"))
-    return single.select(*[F.col(c) for c in docs.columns])
+    """The rows of ``docs`` less all but one of each component: the row with the least id
+    stays (one of several rows of that id), and every row without shingles or id."""
+    parts = materialize(jaccard_components(docs, id_col, text_col, **options), "jaccard-parts")
+    inside = parts.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
+    out = drop_ids(docs, inside.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
+    often = inside.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
+    if often.isEmpty():
+        return out
+    several = materialize(often, "jaccard-repeated")
+    once = out.join(several, id_col, "left_semi").dropDuplicates([id_col])
+    return drop_ids(out, several, id_col).unionByName(once)
 
 
 def brute_force(texts: list, percent: int = 80) -> list[int]:
