@@ -429,13 +429,18 @@ def _prefix_pairs(weak: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))
     n = F.count("*").over(Window.partitionBy("cls"))
     ranked = own.join(often, "shingle").withColumn("rank", rank).withColumn("size", n)
-    prefix = ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("cls", "shingle", "size")
+    prefix = ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("cls", "shingle", "size", "rank")
     own = prefix.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     own = materialize(own, "jaccard-prefixes")
     mixed = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     own = own.join(mixed, "shingle", "left_semi")
-    x, y = own.select("shingle", F.col("cls").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra")), own.select("shingle", F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    side = lambda c: own.select("shingle", F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("rank").alias(f"i{c}"))
+    x, y = side("a"), side("b")
     near = (F.col("ra") < F.col("rb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    # were this the first shingle that a similar pair shares, so many would be left to share;
+    # for some shingle it is the first
+    room = (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    near = near & room
     return x.join(y, "shingle").where(near).select("a", "b").distinct()
 
 
