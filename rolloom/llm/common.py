@@ -17,6 +17,10 @@ SPACE = r"\x20\x09-\x0D"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Rows that go to Python functions at once, in plans that ``materialize`` runs.
+BATCH_ROWS = 500
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -34,7 +38,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lineage, and later reads don't depend on the executors that wrote it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rolloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, str(min(int(rows), BATCH_ROWS)) if int(rows) > 0 else str(BATCH_ROWS))  # whole texts and sets are wide
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._rolloom_path = path
     return out

@@ -104,7 +104,7 @@ def search(shard: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
     last = np.cumsum(sizes) - 1
     runs = shard[np.minimum(origin, len(shard) - 1)]
     runs[last] = 0
-    room = np.repeat(np.concatenate([last]), sizes) - np.arange(len(runs))  # words before the run ends
+    room = np.repeat(last, sizes) - np.arange(len(runs))  # words before the run ends
     text = np.concatenate([runs, tests.text])
     ranks = _ranks(text, int(tests.lengths.max()))
     places, windows = [], []
@@ -160,13 +160,11 @@ def _scanner(tests: Tests):
             order = np.lexsort((places, tests.starts[windows] - places))
             place, diagonal, size = places[order], (tests.starts[windows] - places)[order], tests.lengths[windows][order]
             new = np.concatenate([[True], (np.diff(diagonal) != 0) | (np.diff(place) != 1)])
-            group = np.cumsum(new) - 1
             begin = place[new]
             length = np.maximum.reduceat(place + size, np.flatnonzero(new)) - begin
             for d, b, m in zip(doc[order][new], begin, length, strict=True):
                 if m > longest[d] or (m == longest[d] and b - starts[d] < first[d]):
                     longest[d], first[d] = m, b - starts[d]
-            del group
         return {"n_words": sizes, "hits": hits, "items": [sorted(set(x)) for x in items], "longest": pa.array(longest), "longest_start": pa.array(first)}
 
     return scan
