@@ -286,6 +286,15 @@ def test_passages(spark):
             assert a == b and len(a) >= 50 and r.match_doc_id < r.doc_id
 
 
+def test_every_later_text_has_a_row(spark):
+    rng = random.Random(11)
+    passage = words(rng, 70)
+    texts = [f"{words(rng, 60)} {passage} {words(rng, 60)}" for _ in range(12)]
+    rows = substring_dedup.repeated_passages(frame(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == set(range(1, 12))
+    assert {r.doc_id for r in rows if r.match_doc_id == 0} == set(range(1, 12))
+
+
 def test_passages_of_nothing(spark):
     assert substring_dedup.repeated_passages(frame(spark, ["x"]).where("false")).collect() == []
     assert substring_dedup.repeated_passages(frame(spark, [None, "a b c"])).collect() == []
