@@ -286,6 +286,22 @@ def test_passages(spark):
             assert a == b and len(a) >= 50 and r.match_doc_id < r.doc_id
 
 
+@pytest.mark.parametrize("n", [60, 80, 90, 120])
+@pytest.mark.parametrize("edit", ["put in", "left out"])
+def test_passages_with_words_put_in_or_left_out(n, edit):
+    rng = random.Random(n)
+    passage = words(rng, n).split()
+    changed = [*passage[: n // 2], "another", *passage[n // 2 :]] if edit == "put in" else passage[: n // 2] + passage[n // 2 + 1 :]
+    pair = [" ".join([words(rng, 150), " ".join(p), words(rng, 150)]) for p in (passage, changed)]
+    tokens, begin, end, _ = substring_dedup._sequences(pair)
+    x, y = (tokens[a:b].astype(np.uint32) for a, b in zip(begin, end, strict=True))
+    found = substring_dedup.verify_passage(x, y, 0, 100, 150 + n + 100, 46, 0.8)
+    assert len(found) == 1
+    lo, hi, alo, ahi, s = found[0]
+    assert s >= 0.8 and 45 <= hi - lo + 1 <= n + 12 and min(lo, alo) >= 138 and max(hi, ahi) <= 150 + n + 8
+    assert substring_dedup.similar(x[alo : ahi + 1], y[lo : hi + 1]) >= 0.8
+
+
 def test_every_later_text_has_a_row(spark):
     rng = random.Random(11)
     passage = words(rng, 70)
