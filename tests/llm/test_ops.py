@@ -377,6 +377,16 @@ def test_perplexity_matches_the_recursion(spark):
     assert kept.columns == [*docs.columns, "block"] and 12 not in {r.doc_id for r in kept.collect()}
 
 
+def test_limits_are_quantiles_of_trusted_texts(spark):
+    rng = random.Random(14)
+    docs = frame(spark, [words(rng, rng.randint(3, 30)) for _ in range(150)])
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    rows = quality.judge_quality(docs, labels).collect()
+    trusted = sorted(r.perplexity for r in rows if r.trusted)
+    assert {r.threshold for r in rows} == {trusted[int(np.ceil(0.99 * 120)) - 1]}
+    assert sum(not r.kept for r in rows if r.trusted) == 1
+
+
 def test_quality_without_trust_or_rows(spark):
     docs, none = frame(spark, ["a b c", None]), spark.createDataFrame([], "doc_id long, quality int")
     assert all(r.kept for r in quality.judge_quality(docs, none).collect())
