@@ -450,9 +450,60 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, most: int = 24, bucket_entries: int = 1_500_000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row, and ``n_links`` of its class
-    (links that were verified; links within a component need not all be)."""
+BLOCK = 256
+
+
+def _linked(x: list, percent: int) -> np.ndarray:
+    """Which of the sets link, as a square of booleans; none with itself."""
+    sizes = np.array([len(s) for s in x])
+    owner = np.repeat(np.arange(len(x)), sizes)
+    _, ids, often = np.unique(np.concatenate(x), return_inverse=True, return_counts=True)
+    shared = often > 1
+    ids, owner = (np.cumsum(shared) - 1)[ids[shared[ids]]], owner[shared[ids]]
+    order = np.argsort(ids, kind="stable")
+    ids, owner = ids[order], owner[order]
+    both = np.zeros((len(x), len(x)), np.float64)
+    for v in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(ids, [v, v + 4096])
+        has = np.zeros((len(x), min(4096, int(shared.sum()) - v)), np.float32)
+        has[owner[a:b], ids[a:b] - v] = 1
+        both += has @ has.T
+    out = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _link_counts(labels: DataFrame, copies: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``cls, n_links``: the documents of other classes that link to each class of a
+    component. All links lie within components, so all pairs of each are compared, in
+    squares of BLOCK classes; small components share a group."""
+    sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
+    parts = max(96, -(-labels.count() // 1000))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    each = labels.join(sizes, "root").withColumnRenamed("node", "cls").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(parts))).otherwise(F.col("root"))
+    each = each.select(part.alias("part"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "root", "own", "cls")
+    each = each.join(copies, "cls").join(sets.select("cls", "shingles"), "cls")
+
+    def count(rows):
+        roots, own, copies = (rows[c].to_numpy() for c in ("root", "own", "copies"))
+        x = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows["shingles"]]
+        n = np.zeros(len(x), np.int64)
+        order = np.argsort(roots, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            link = _linked([x[k] for k in some], percent)
+            if rows["x"][0].as_py() != rows["y"][0].as_py():  # pairs within a block are counted in its own square
+                link &= own[some][:, None] != own[some][None, :]
+            n[some] = link @ copies[some]
+        return pa.table({"cls": rows["cls"], "n_links": n})
+
+    return each.groupBy("part", "x", "y").applyInArrow(count, "cls long, n_links long").groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, most: int = 24, bucket_entries: int = 1_500_000, count_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row, and ``n_links``, the number of
+    other documents that link to it (null unless ``count_links``)."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_filter(docs, text_col)[0])  # 16 MB at most
     rows = materialize(_classes(docs, id_col, text_col, percent, sent), "jaccard-classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -494,11 +545,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not last.isEmpty():
         links = links.union(last)
         labels = components(links)
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    copies = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"))
+    if count_links:
+        counts = materialize(_link_counts(labels, copies, sets, percent), "jaccard-link-counts")
+        degree = copies.join(counts, "cls", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    else:
+        degree = copies.withColumn("n_links", F.lit(None).cast("long"))
     named = rows.where("cls is not null").groupBy("cls").agg(F.min("__" + id_col).alias("least_id"))
     named = named.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = materialize(named.join(ids, "root").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-components")
+    of_class = materialize(named.join(ids, "root").join(degree, "cls").select("cls", "component_id", "n_links"), "jaccard-components")
     linked = rows.where("cls is not null").join(of_class, "cls").select(F.col("__" + id_col).alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
     alone = rows.where("cls is null").select(F.col("__" + id_col).alias(id_col), F.col("n").alias("n_shingles"), F.col("__" + id_col).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
@@ -507,7 +563,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the row with the least id
     stays (one of several rows of that id), and every row without shingles or id."""
-    parts = materialize(jaccard_components(docs, id_col, text_col, **options), "jaccard-parts")
+    parts = materialize(jaccard_components(docs, id_col, text_col, count_links=False, **options), "jaccard-parts")
     inside = parts.where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
     out = drop_ids(docs, inside.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col)
     often = inside.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)

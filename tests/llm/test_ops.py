@@ -210,6 +210,25 @@ def test_near_duplicates(spark, texts, most):
         assert got[i].n_shingles == (len({tuple(w[j : j + 5]) for j in range(len(w) - 4)}) if len(w) >= 5 else int(bool(w)))
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_all_links_are_counted(spark, texts, block, monkeypatch):
+    rng = random.Random(15)
+    family, more = words(rng, 150).split(), [*texts, texts[0]]
+    for _ in range(40):
+        copy = list(family)
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(150)] = rng.choice(WORDS)
+        more.append(" ".join(copy))
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(frame(spark, more), most=2).collect()}
+    sets = []
+    for t in more:
+        w = jaccard_join.split_words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    for i, x in enumerate(sets):
+        assert got[i] == sum(bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets) if j != i)
+
+
 def test_signatures_meet_for_all_similar_sets():
     rng = np.random.default_rng(2)
     for n in (5, 9, 20, 75, 300):
