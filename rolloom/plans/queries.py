@@ -838,11 +838,7 @@ def short_prompts(spark, d):
 @query("SELECT event_type AS data_source, count(*) AS samples, count(*) FILTER (30 - day(ts) >= 1) AS stale, max(30 - day(ts))::INTEGER AS oldest FROM events GROUP BY 1")
 def sample_staleness(spark, d):
     e = table(spark, d, "events").select("event_type", F.dayofmonth("ts").alias("min_version"))
-    out = None
-    for k in ("click", "error", "purchase", "signup", "view"):
-        one = sample_queue.staleness(e.where(F.col("event_type") == k), 30).select(F.lit(k).alias("data_source"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return sample_queue.staleness(e.withColumnRenamed("event_type", "data_source"), 30, by=["data_source"])
 
 
 @query("""WITH v AS (SELECT value AS p, day(ts) AS hi, day(ts) - event_id % 3 AS lo FROM events) SELECT count(*) AS samples, round(avg(p), 4) AS time_mean, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY p), 4) AS time_p50,
@@ -874,7 +870,7 @@ def replay_ready(spark, d):
 @query()
 def bucket_delays(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.unix_timestamp("ts") / 1000.0).alias("at"), F.col("value").alias("tokens"))
-    return replay.bucket_delays(e.where("key = 'click'"), 1.0, 100.0)
+    return replay.bucket_delays(e, 1.0, 100.0)
 
 
 # -- flagship ------------------------------------------------------------------------

@@ -8,7 +8,7 @@ count gate of a trainer), "version" moves the model's version on and "close" end
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -122,10 +122,11 @@ def must_pause(waiting: int, most_waiting: int, in_flight: int, budget: int) ->
     return waiting >= most_waiting or in_flight >= budget
 
 
-def staleness(samples: DataFrame, version: int) -> DataFrame:
-    """One row: samples, how many are a version old or more, and the largest age."""
+def staleness(samples: DataFrame, version: int, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: samples, how many are a version old or
+    more, and the largest age."""
     age = F.lit(version) - F.col("min_version")
-    return samples.agg(F.count(F.lit(1)).alias("samples"), F.count_if(age >= 1).alias("stale"), F.max(age).alias("oldest"))
+    return samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.count_if(age >= 1).alias("stale"), F.max(age).alias("oldest"))
 
 
 def assemble(samples: DataFrame) -> DataFrame:

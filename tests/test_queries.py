@@ -45,3 +45,10 @@ def test_query(spark, duck, name):
     order = sorted(names)
     key = lambda rs: sorted((tuple(plain(r[c]) for c in order) for r in rs), key=repr)
     assert key(rows) == key(want)
+
+
+def test_all_keys_are_in(spark, tmp_path):
+    rows = "SELECT id AS event_id, element_at(array('click', 'view', 'other', null), int(id % 4) + 1) AS event_type, timestamp'2024-01-05' AS ts, 1.0 AS value FROM range(12)"
+    spark.sql(rows.replace("1.0", "1.0D")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.key: len(r.delays) for r in queries.bucket_delays(spark, str(tmp_path)).collect()} == {"click": 3, "view": 3, "other": 3, None: 3}
+    assert {r.data_source: r.samples for r in queries.sample_staleness(spark, str(tmp_path)).collect()} == {"click": 3, "view": 3, "other": 3, None: 3}
