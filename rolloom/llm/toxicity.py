@@ -1,15 +1,16 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained from a bounded sample of labelled texts. The
-ordinary one is trained on windows of ordinary text; the toxic one holds the same
-trained content and, before it, the word stems that far more toxic than ordinary
-texts show, so that what differs between the two is what is peculiar to toxic text.
-Every text is cut into windows of ``window`` words, each window is compressed with
-both, and the difference of the two lengths is its distance. How often each distance
-occurs in toxic and in ordinary texts gives it a weight, and a logistic curve over
-the sum of weights, the largest weight and the number of windows gives the score, so
-that 0.5 is the threshold. Words and labels of the sample are all it learns from;
-scoring takes the text alone.
+ordinary one is trained on the windows of ordinary text. The toxic one is trained on
+toxic text less what is common to both: of each toxic text those words that several
+toxic texts and hardly any ordinary ones show; the ordinary content follows it, so what
+differs between the two is what is peculiar to toxic text. Every text is cut into
+windows of ``window`` words, each window is compressed with both, and the difference of
+the two lengths is its distance. How often each distance occurs in toxic and in ordinary
+texts gives it a weight, and a logistic curve over the sum of weights, the largest weight
+and the number of windows gives the score, so that 0.5 is the threshold. Words and labels
+of the sample, and the share of toxic labels among the usable documents, are all it
+learns from; scoring takes the text alone.
 
 Bounds of the sample: ``most_docs`` texts of each class, of ``most_chars`` characters
 at most each, chosen by a hash of their id. Scoring reads whole texts of any length,
@@ -17,8 +18,10 @@ one pass without shuffle.
 
 Edge cases: null and empty texts have no windows and get the curve's value there;
 without labelled texts of both classes every score is the share of toxic labels (0
-without any); repeated rows score alike; a label without a document and a document
-without a label do nothing in training; several labels of one text all count.
+without any); repeated rows score alike, and of rows that share an id one text (the
+least) is learned from; a label without a document and a document without a label do
+nothing in training; several labels of one text all count; extra columns are passed
+over unless named in ``carry``.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, materialize
 
-STEM_BYTES = (5, 6, 7, 8, 9, 10, 12)
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 LOW, HIGH = -4, 12
 
@@ -48,37 +50,31 @@ def _windows(text: str | None, window: int) -> list[bytes]:
     return [b" " + b" ".join(ws[i : i + window]) for i in range(0, len(ws), window)]
 
 
-def _stems(text: str, known: dict | None = None) -> set[bytes]:
-    """Beginnings of the text's words, with the blank before them."""
-    out = set()
-    for w in set(_words(text)):
-        w = b" " + w[:11]
-        made = [w[:n] for n in STEM_BYTES if n <= len(w)]
-        out.update(made if known is None else [s for s in made if s in known])
-    return out
+def trained(samples: list[bytes], size: int) -> bytes:
+    """Content of a dictionary of about ``size`` bytes; b"" without samples. A small sample
+    is repeated, as training asks for several times the dictionary's size."""
+    total = sum(map(len, samples))
+    if not total:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples * max(1, -(-20 * size // total))).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def peculiar_stems(toxic: Sequence[str], ordinary: Sequence[str], share: float = 0.025, ratio: float = 4.0) -> bytes:
-    """Stems in over ``share`` more of the toxic texts than thrice the share of the
-    ordinary ones and at least ``ratio`` times as often; the strongest come last."""
+def peculiar_words(toxic: Sequence[str], ordinary: Sequence[str], share: float = 0.01, most: float = 0.002) -> list[bytes]:
+    """Each toxic text's words, in order, that at least ``share`` of the toxic texts (three
+    at least) and under ``most`` of the ordinary ones show; texts without any are left out."""
     seen: Counter = Counter()
     for t in toxic:
-        seen.update(_stems(t))
-    known = {g: n for g, n in seen.items() if n >= max(3, share * len(toxic))}
-    del seen
+        seen.update(set(_words(t)))
+    shared = {w for w, n in seen.items() if n >= max(3, share * len(toxic))}
     other: Counter = Counter()
     for t in ordinary:
-        other.update(_stems(t, known))
-    strength = {}
-    for g, n in known.items():
-        a, b = n / len(toxic), other[g] / max(1, len(ordinary))
-        if a - 3 * b >= share and a > ratio * b:
-            strength[g] = a - 3 * b
-    kept: list[bytes] = []
-    for g in sorted(strength, key=lambda x: (-len(x), x)):
-        if not any(h.startswith(g) and strength[h] > 0.85 * strength[g] for h in kept):
-            kept.append(g)
-    return b"".join(sorted(kept, key=lambda g: (strength[g], g)))
+        other.update(shared.intersection(_words(t)))
+    kept = {w for w in shared if other[w] < max(1, most * len(ordinary))}
+    texts = ([w for w in _words(t) if w in kept] for t in toxic)
+    return [b" " + b" ".join(ws) + b" " for ws in texts if ws]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -123,7 +119,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3)
     return beta
 
 
-def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 6, shared: int = 3000) -> dict:
+def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 6, ordinary_bytes: int = 4096, toxic_bytes: int = 512) -> dict:
     """A model from texts of both classes; ``prior``: the share of toxic labels.
 
     Weights and curve are fitted on distances of texts under dictionaries that the other
@@ -132,12 +128,8 @@ def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 6,
         return {"constant": prior}
 
     def dictionaries(bad: list[str], good: list[str]) -> dict:
-        samples = [w for t in good for w in _windows(t, window)][:100_000]
-        try:
-            common = zstandard.train_dictionary(16_384, samples).as_bytes()[-shared:]
-        except zstandard.ZstdError:  # too little text
-            common = b"".join(samples)[-shared:] or b" "
-        return {"window": window, "ordinary": common, "toxic": peculiar_stems(bad, good) + common}
+        common = trained([w for t in good for w in _windows(t, window)], ordinary_bytes) or b" "
+        return {"window": window, "ordinary": common, "toxic": trained(peculiar_words(bad, good), toxic_bytes) + common}
 
     counts: list[list] = [[], []]
     for half in (0, 1):
@@ -155,16 +147,20 @@ def train(toxic: list[str], ordinary: list[str], prior: float, window: int = 6,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, most_docs: int, most_chars: int) -> tuple[dict[int, list[str]], float]:
-    """Texts by class and the share of toxic labels among the usable ones."""
-    marks = labels.select(F.col(id_col).alias("__label_id"), F.col("toxic").cast("int").alias("__toxic")).where("__toxic is not null")
-    rows = docs.where(usable & (F.length(text_col) <= most_chars)).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found, seen = {}, {r[0]: r[1] for r in marks.groupBy("__toxic").count().collect()}
-    for c in (0, 1):
-        # the ids are chosen before any text is joined; at most ``most_docs`` go to the tasks
-        chosen = rows.select("__id").join(marks.where(F.col("__toxic") == c), F.col("__id") == F.col("__label_id")).select("__id").distinct()
-        chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(most_docs)
-        texts = rows.join(F.broadcast(chosen), "__id").select("__id", "__text").dropDuplicates(["__id"])
-        found[c] = [r[1] for r in sorted(texts.collect())]
+    """Texts by class, and the share of toxic labels; both from usable documents alone."""
+    marks = labels.select(F.col(id_col).alias("__label_id"), F.col("toxic").cast("int").alias("__toxic")).where("__toxic in (0, 1)")
+    rows = docs.where(usable).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    short = F.coalesce(F.length("__text") <= most_chars, F.lit(False))
+    marked = rows.select("__id", short.alias("__short")).join(marks, F.col("__id") == F.col("__label_id"))
+    marked = materialize(marked.groupBy("__id", "__toxic").agg(F.max("__short").alias("__short")), "toxicity-labels")
+    seen = {r[0]: r[1] for r in marked.groupBy("__toxic").count().collect()}
+    # the ids are chosen before any text is joined; at most ``most_docs`` of a class
+    first = lambda c: marked.where((F.col("__toxic") == c) & F.col("__short")).orderBy(F.xxhash64("__id"), "__id").limit(most_docs)
+    chosen = first(0).unionByName(first(1)).select("__id", "__toxic")
+    texts = rows.where(short).join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min("__text").alias("__text"))
+    found: dict[int, list[str]] = {0: [], 1: []}
+    for _, c, text in sorted(tuple(r) for r in texts.collect()):
+        found[c].append(text)
     total = sum(seen.values())
     return found, (seen.get(1, 0) / total if total else 0.0)
 
