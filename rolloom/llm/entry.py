@@ -119,7 +119,7 @@ ORACLES: dict[str, str] = {
     "op3_mixing": f"""
         WITH d AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^{SPACE}]+')), 0)::BIGINT AS size,
                           CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS skey,
-                          ('0x' || substr(md5('17/' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS pos FROM documents),
+                          ('0x' || substr(md5('17/' || coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, 15))::BIGINT AS pos FROM documents),
         s AS (SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) AS n FROM d GROUP BY skey),
         w AS (SELECT *, list_extract([3.0, 1.0, 2.0]::DOUBLE[], (n - 1) % 3 + 1) AS w, 2.0::DOUBLE * source_size AS most FROM s),
         p AS (SELECT 1.5::DOUBLE * sum(source_size) AS pool FROM s),

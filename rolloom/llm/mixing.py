@@ -2,25 +2,30 @@
 
 Sources share ``share`` times all words by weight, but none gets more than
 ``most_epochs`` times its own words; what is cut off there goes to the others by
-weight, until none is above. Within a source the documents have a hash-random
-order. Prefix sums of their word counts are computed in two levels: the range of
-the hash is cut into cells of about ``cell_rows`` documents, cells are summed and
-those sums added up along the source, and each cell is added up by itself. So no
-task holds a source, however large. A source's mix is its whole order, as often as
-the target holds it, and then the order's beginning up to the exact word.
-
-Edge cases: null text has no words, is kept and adds nothing; a null source is a
-source of its own, after all others; repeated rows are documents of their own, and
-equal ones are interchangeable; an empty table gives an empty result; a source
-without words has target 0. Reruns agree: the order is a hash of doc_id,
-not of place. Extra columns are passed over by ``mix``.
+weight, until none is above. Within a source the documents have a hash-random order. A
+source's mix is its whole order, as often as the target holds it, and then the order's
+beginning up to the exact word.
+
+That word is found by prefix sums in two levels. The range of the hash is cut into cells
+of about ``cell_rows`` documents; cells are summed and those sums added up along each
+source, which gives the cell that the budget ends in. Only the rows of that cell are
+sorted, and give the document that is cut. Every other document knows what is taken of it
+by comparing its hash with that of the cut one, so no text is shuffled and no task holds a
+source, however large.
+
+Edge cases: null text has no words, is kept and adds nothing; a null source is a source
+of its own, after all others; rows with the same id or none have different places if
+their texts differ, and equal ones share evenly what falls on them (less than a word each
+is lost); texts of any length are counted whole; an empty table gives an empty result; a
+source without words has target 0. Reruns agree: the order is a hash of id and text, not
+of place. Extra columns are passed over by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
@@ -49,32 +54,57 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return src.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * level)).select("skey", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 4_000, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken``, and
-    ``epochs`` (whole copies) and ``cut`` (words of one more copy, from its start).
-    ``carry``: columns to keep beside these, under their names with ``__`` before."""
-    text = F.col(text_col)
-    base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.when(F.col(source_col).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source_col))).alias("skey"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0)).alias("size"),
-        *[F.col(c).alias(f"__{c}") for c in carry],
-    ).withColumn("order", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long"))
-    base = materialize(base, "mix-sizes")
-    sources = base.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(sources.drop("n"), weights, share, most_epochs)
-    cells = max(1, -(-(sources.agg(F.sum("n")).first()[0] or 0) // cell_rows))
-    base = base.withColumn("cell", F.least(F.floor(F.col("order") / F.lit(2.0**60) * cells), F.lit(cells - 1)))
-    along = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = base.groupBy("skey", "cell").agg(F.sum("size").alias("cell_size")).withColumn("cell_start", F.coalesce(F.sum("cell_size").over(along), F.lit(0)))
-    before = before.join(targets, "skey").select("skey", "cell", "cell_start", "source_size", "target")
-    inside = Window.partitionBy("skey", "cell").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = base.withColumn("start", F.sum("size").over(inside) - F.col("size")).join(before, ["skey", "cell"])
+#: One row for each source is broadcast up to this number of sources, joined by shuffle beyond.
+MOST_BROADCAST_SOURCES = 10_000
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> dict[str, Column]:
+    """Columns that a document's place and size follow from."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("/"), text)
+    return {
+        "__skey": F.when(F.col(source_col).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source_col))),
+        "__size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "__order": F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"),
+    }
+
+
+def _with_budgets(rows: DataFrame, placed: DataFrame, id_col: str, weights: Sequence[float], share: float, most_epochs: int, cell_rows: int) -> DataFrame:
+    """``rows`` with what is taken of each: ``__source_size, __target, __epochs`` (whole
+    copies) and ``__cut`` (words of one more copy, from its start). ``placed`` holds
+    id, ``__skey, __size, __order`` of the same rows."""
+    sources = materialize(placed.groupBy("__skey").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    total, few = sources.agg(F.sum("n"), F.count("*")).first()
+    side = F.broadcast if few <= MOST_BROADCAST_SOURCES else (lambda df: df)
+    targets = source_targets(sources.select(F.col("__skey").alias("skey"), "source_size"), weights, share, most_epochs).withColumnRenamed("skey", "__skey")
     budget = F.floor(F.col("target") + 1e-6)
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    placed = placed.withColumn("epochs", epochs).withColumn("left", budget - F.col("epochs") * F.col("source_size"))
-    placed = placed.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start") - F.coalesce(F.col("cell_start"), F.lit(0)))))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"), F.col("epochs").cast("int").alias("epochs"), F.col("cut").cast("long").alias("cut"), *[f"__{c}" for c in carry])
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
+    targets = targets.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    cells = max(1, -(-(total or 0) // cell_rows))
+    cell = F.least(F.floor(F.col("__order") / F.lit(2.0**60) * cells), F.lit(cells - 1)).alias("cell")
+    along = Window.partitionBy("__skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__skey", cell).agg(F.sum("__size").alias("size")).withColumn("start", F.coalesce(F.sum("size").over(along), F.lit(0)))
+    last = sums.join(side(targets), "__skey").where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("size")))
+    last = materialize(last.select("__skey", "cell", "start", "rest"), "mix-cells")  # one row a source
+    # equal rows are one with their number
+    inside = placed.withColumn("cell", cell).join(side(last), ["__skey", "cell"]).groupBy("__skey", "start", "rest", "__order", F.col(id_col).alias("id"), "__size").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__skey").orderBy("__order", "id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum(F.col("__size") * F.col("n")).over(before), F.lit(0)))
+    end = inside.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("__size") * F.col("n")))
+    end = end.select("__skey", F.struct("__order", "id", "__size").alias("end"), F.floor((F.col("rest") - F.col("start")) / F.col("n")).alias("part"))
+    decided = materialize(targets.join(end, "__skey", "left"), "mix-budgets")
+    own = F.struct("__order", F.col(id_col).alias("id"), "__size")
+    cut = F.when(own < F.col("end"), F.col("__size")).when(own == F.col("end"), F.col("part")).otherwise(F.lit(0))
+    return rows.join(side(decided.withColumnsRenamed({"source_size": "__source_size", "target": "__target", "epochs": "__epochs"})), "__skey").withColumn("__cut", cut.cast("long")).drop("rest", "end", "part")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 4_000, seed: int = 17) -> DataFrame:
+    """One row for each document: ``doc_id, size, source_size, target, taken``, and
+    ``epochs`` (whole copies) and ``cut`` (words of one more copy, from its start)."""
+    placed = materialize(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in _placed(docs, id_col, text_col, source_col, seed).items()]), "mix-sizes")
+    out = _with_budgets(placed, placed, "doc_id", weights, share, most_epochs, cell_rows)
+    taken = F.col("__epochs") * F.col("__size") + F.col("__cut")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"), F.col("__epochs").alias("epochs"), F.col("__cut").alias("cut"))
 
 
 def first_words(text, n):
@@ -83,15 +113,17 @@ def first_words(text, n):
     return F.array_join(F.slice(pieces, 1, n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 4_000, seed: int = 17) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as taken; where a source's budget ends
     inside a document, its last copy is cut after that word. Documents without words
     are neither here nor there for a budget in words: they stay, once."""
-    names = docs.columns
-    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, carry=names, **options)
-    whole = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("cut") == F.col("size")).cast("int"))
-    copies = mixed.withColumn("part", F.when((F.col("cut") > 0) & (F.col("cut") < F.col("size")), F.col("cut")).otherwise(F.lit(0)))
+    rows = docs.withColumns(_placed(docs, id_col, text_col, source_col, seed))
+    placed = materialize(rows.select(id_col, "__skey", "__size", "__order"), "mix-sizes")
+    mixed = _with_budgets(rows, placed, id_col, weights, share, most_epochs, cell_rows)
+    size, cut = F.col("__size"), F.col("__cut")
+    whole = F.when(size == 0, F.lit(1)).otherwise(F.col("__epochs") + (cut == size).cast("int"))
+    part = F.when((cut > 0) & (cut < size), F.array(cut)).otherwise(F.array().cast("array<bigint>"))
     # 0 stands for a whole copy, a positive number for a cut one
-    copies = copies.withColumn("copy", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))))
-    text = F.when(F.col("copy") > 0, first_words(F.col(f"__{text_col}"), F.col("copy"))).otherwise(F.col(f"__{text_col}"))
-    return copies.select(*[text.alias(c) if c == text_col else F.col(f"__{c}").alias(c) for c in names])
+    copies = mixed.withColumn("__copy", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), part)))
+    text = F.when(F.col("__copy") > 0, first_words(F.col(text_col), F.col("__copy"))).otherwise(F.col(text_col))
+    return copies.select(*[text.alias(c) if c == text_col else c for c in docs.columns])
