@@ -6,12 +6,17 @@ for every hash the corpus tells how many distinct repositories and owners show i
 A value of many owners is an example that people copy; one that stays with few and
 looks random is taken for a live credential. Base spans are all reported whatever
 their class; bare tokens become spans only where they are live. A value shared by
-very many rows is counted by (hash, repository, owner) first, so no task gets its
-rows; only hashes and positions are shuffled, never text.
+very many rows is counted by (hash, repository, owner) first; the answers for values of
+over ``hot_rows`` rows are broadcast (there is at most one for so many candidates), so no
+task gets the rows of such a value; only hashes and positions are shuffled, never text.
+
+Without other columns, ``source`` stands for the owner and ``source/lang`` for the
+repository.
 
 Edge cases: a null text is empty and has no spans; null repositories and owners are
 one unnamed repository and owner; repeated rows are rows of their own and do not add
-owners; an empty table gives an empty result; texts are scanned whole.
+owners; an empty table gives an empty result; texts of any length are scanned whole;
+extra columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -70,20 +75,23 @@ def _scan(texts: list) -> dict:
             out[name].append(kinds[k])
         out["base"].append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in base))
         own = [{"start": a, "kind": k, "end": b, "hash": _hash(v), "random": looks_random(v)} for a, k, b, v in base]
+        at, reach = 0, 0  # base spans that begin before the token ends, and how far they reach
         for m in BARE.finditer(text):
-            if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            while at < len(base) and base[at][0] < m.end():
+                reach, at = max(reach, base[at][2]), at + 1
+            if reach <= m.start() and looks_random(m[0]):
                 own.append({"start": m.start(), "kind": 3, "end": m.end(), "hash": _hash(m[0]), "random": True})
         out["candidates"].append(own)
     return out
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """``hash, repositories, owners`` from rows ``hash, repo, owner``."""
+    """``hash, repositories, owners, n`` (rows) from rows ``hash, repo, owner``."""
     each = candidates.groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
-    return each.groupBy("hash").agg(F.count("*").alias("repositories"), F.count_distinct("owner").alias("owners"))
+    return each.groupBy("hash").agg(F.count("*").alias("repositories"), F.count_distinct("owner").alias("owners"), F.sum("n").alias("n"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, most_owners: int = 2, most_repositories: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None, owner: Column | None = None, most_owners: int = 2, most_repositories: int = 3, hot_rows: int = 50_000) -> DataFrame:
     """One row a document: counts and digest of the base spans, ``spans`` with the added
     ones, ``n_live`` and ``n_example`` (candidates by class)."""
     repo = F.coalesce(repo if repo is not None else F.concat_ws("/", "source", "lang"), F.lit(""))
@@ -93,12 +101,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(found, "secret-candidates")
     base = ["__id", "n_assign", "n_access", "n_hex", "base"]
     each = found.select("row", *base, F.col("__repo").alias("repo"), F.col("__owner").alias("owner"), F.explode("candidates").alias("c")).withColumn("hash", F.col("c.hash"))
-    known = ownership(each.select("hash", "repo", "owner"))
+    known = materialize(ownership(each.select("hash", "repo", "owner")), "secret-owners")
     few = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
-    judged = each.join(known, "hash").withColumn("live", few & F.col("c.random"))
+    known = known.select("hash", few.alias("few"), (F.col("n") > hot_rows).alias("hot"))
+    hot = known.where("hot").select("hash", F.col("few").alias("hot_few"))
+    marked = each.join(F.broadcast(hot), "hash", "left")
+    judged = marked.where("hot_few is null").drop("hot_few").join(known.where("not hot").select("hash", "few"), "hash")
+    judged = judged.unionByName(marked.where("hot_few is not null").withColumnRenamed("hot_few", "few")).withColumn("live", F.col("few") & F.col("c.random"))
     shown = F.when((F.col("c.kind") < 3) | F.col("live"), F.struct("c.start", "c.kind", "c.end"))
     some = judged.groupBy("row", *base).agg(
-        F.sort_array(F.collect_list(shown)).alias("shown"), F.count_if("live").alias("n_live"), F.count_if(~few).alias("n_example")
+        F.sort_array(F.collect_list(shown)).alias("shown"), F.count_if("live").alias("n_live"), F.count_if(~F.col("few")).alias("n_example")
     )
     kinds = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("shown", lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start, s.end)), ",")
