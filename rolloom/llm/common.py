@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,13 @@ BATCH_ROWS = 500
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent (local tests) a temporary folder is set.
+    Only where that setting is absent (local tests) a temporary folder is set; a cluster
+    has to name one, as a folder of the driver's own is not seen by its executors.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rolloom-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -83,21 +87,71 @@ def fixpoint(step: Callable[[DataFrame], tuple[DataFrame, bool]], start: DataFra
 PIECE_BYTES = 1 << 20
 
 
-def pieces(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Runs of rows whose texts have about PIECE_BYTES (one row at least)."""
-    import numpy as np
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (xor-shift and multiply)."""
+    x = (x ^ (x >> np.uint64(30))) * _C2
+    x = (x ^ (x >> np.uint64(27))) * _C3
+    return x ^ (x >> np.uint64(31))
+
+
+def byte_codes(separators: Sequence[int]) -> np.ndarray:
+    """A fixed 64-bit number for each byte, the same for A-Z and a-z; 0 for ``separators``."""
+    codes = mix64(np.arange(1, 257, dtype=np.uint64) * _C1)
+    codes[65:91] = codes[97:123]
+    codes[list(separators)] = 0
+    return codes
+
+
+_PLACES: list[np.ndarray] = []
+
+
+def _places(n: int) -> np.ndarray:
+    """A fixed odd 64-bit number for each place within a word; kept for the task's next texts."""
+    if not _PLACES or len(_PLACES[0]) < n:
+        _PLACES[:] = [mix64(np.arange(1 << 40, (1 << 40) + max(2 * n, 1 << 12), dtype=np.uint64) * _C3) | np.uint64(1)]
+    return _PLACES[0]
+
+
+def hash_words(texts: list, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in order, and the number of words of each text.
+
+    Words are runs of bytes whose code isn't 0. A word's hash is the sum over its bytes of
+    the byte's code times the place's number, so it follows no recurrence that a text
+    could be made to fit."""
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    begins = np.cumsum([0] + [len(x) + 1 for x in parts])
+    codes = codes[raw]
+    inside = np.concatenate([[0], (codes != 0).view(np.int8), [0]])
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    counts = np.diff(np.searchsorted(start, begins))
+    if not len(start):
+        return np.empty(0, np.uint64), counts
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    sums = np.add.reduceat(codes[codes != 0] * _places(int(size.max()))[place], first)
+    return mix64(sums + size.astype(np.uint64)), counts
+
+
+def pieces(batch: pa.RecordBatch, texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of rows whose texts have about ``piece_bytes`` (one row at least)."""
     import pyarrow.compute as pc
 
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + piece_bytes, side="right")))
         yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
         at = to
 
 
-def map_texts(df: DataFrame, text_col: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
+def map_texts(df: DataFrame, text_col: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[list], dict]], piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Apply a function of many texts at once, in Arrow batches.
 
     ``make()`` runs once a task and gives a function from a list of texts (None for
@@ -111,7 +165,7 @@ def map_texts(df: DataFrame, text_col: str, carry: Sequence[str], fields: str, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for rows, texts in pieces(batch, batch.column(batch.num_columns - 1)):
+            for rows, texts in pieces(batch, batch.column(batch.num_columns - 1), piece_bytes):
                 made = apply(texts)
                 kept = rows.columns[:-1]
                 new = [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in arrow]

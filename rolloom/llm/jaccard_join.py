@@ -43,18 +43,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, map_texts, materialize, pieces
+from .common import byte_codes, drop_ids, hash_words, map_texts, materialize, mix64, pieces
 from .graph import components
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (xor-shift and multiply)."""
-    x = (x ^ (x >> np.uint64(30))) * _C2
-    x = (x ^ (x >> np.uint64(27))) * _C3
-    return x ^ (x >> np.uint64(31))
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -62,41 +55,12 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def _byte_codes() -> np.ndarray:
-    """A fixed 64-bit number for each byte; A-Z as a-z, white space 0."""
-    codes = mix64(np.arange(1, 257, dtype=np.uint64) * _C1)
-    codes[65:91] = codes[97:123]
-    codes[[9, 10, 11, 12, 13, 32]] = 0
-    return codes
-
-
-_CODES = _byte_codes()
-_BASE, _INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2 ** 64; kept for the task's next texts."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64))]) for x in (_BASE, _INVERSE)]
-    return _POWERS
+_CODES = byte_codes([9, 10, 11, 12, 13, 32])  # ASCII white space parts words
 
 
 def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words in order, and the number of words of each text: a
-    polynomial over the bytes of each word, from running sums over all texts at once."""
-    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    begins = np.cumsum([0] + [len(x) + 1 for x in parts])
-    codes = _CODES[raw]
-    inside = np.concatenate([[0], (codes != 0).view(np.int8), [0]])
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[: len(raw)])])
-    hashes = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(start, begins))
+    """Hashes of all words, A-Z lowered, and the number of words of each text."""
+    return hash_words(texts, _CODES)
 
 
 def shingle_rows(texts: list, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
