@@ -42,7 +42,7 @@ def texts():
 # -- exact copies --------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("options", [{}, {"key_bits": 3}, {"capacity": 2, "most_depth": 6}])
+@pytest.mark.parametrize("options", [{}, {"key_bits": 3}, {"capacity": 2}, {"hot_rows": 1}])
 def test_exact_copies(spark, texts, options):
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, texts), **options).collect()}
     norm = [re.sub("[ \t-\r]+", " ", t or "") for t in texts]
@@ -298,12 +298,13 @@ def test_passages(spark):
     rows = substring_dedup.repeated_passages(frame(spark, texts)).collect()
     assert {r.doc_id for r in rows} | {r.match_doc_id for r in rows} >= {0, 1, 3}
     assert {r.doc_id for r in rows} & {4, 5, 6, 7, 8, 9, 11, 12, 14, 15} == set()
-    whole = [r for r in rows if r.doc_id == 13]
-    assert [(r.match_doc_id, r.start_word, r.end_word) for r in whole] == [(2, 0, 300)]
+    whole = [r for r in rows if r.doc_id in (2, 13)]
+    assert sorted((r.doc_id, r.match_doc_id, r.start_word, r.end_word, r.first) for r in whole) == [(2, 13, 0, 300, True), (13, 2, 0, 300, False)]
     for r in rows:
+        assert (r.match_doc_id > r.doc_id) == r.first
         if r.similarity == 1.0:
             a, b = texts[r.doc_id].split()[r.start_word : r.end_word], texts[r.match_doc_id].split()[r.match_start : r.match_end]
-            assert a == b and len(a) >= 50 and r.match_doc_id < r.doc_id
+            assert a == b and len(a) >= 50
 
 
 @pytest.mark.parametrize("n", [60, 80, 90, 120])
@@ -327,8 +328,8 @@ def test_every_later_text_has_a_row(spark):
     passage = words(rng, 70)
     texts = [f"{words(rng, 60)} {passage} {words(rng, 60)}" for _ in range(12)]
     rows = substring_dedup.repeated_passages(frame(spark, texts)).collect()
-    assert {r.doc_id for r in rows} == set(range(1, 12))
-    assert {r.doc_id for r in rows if r.match_doc_id == 0} == set(range(1, 12))
+    assert {r.doc_id for r in rows} == set(range(12))
+    assert {r.doc_id for r in rows if r.match_doc_id == 0} == {r.doc_id for r in rows if not r.first} == set(range(1, 12))
 
 
 def test_all_places_of_a_text_count():
@@ -496,3 +497,20 @@ def test_dropped_ids_and_shared_files(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "doc_id long")
     assert sorted((r.doc_id or 0) for r in drop_ids(df, spark.createDataFrame([(2,), (None,)], "doc_id long"), "doc_id").collect()) == [0, 1]
     assert materialize(df, "t").count() == 3
+
+
+def test_exact_of_nothing_and_one_hot_text(spark):
+    assert exact_dedup.exact_dedup(frame(spark, ["x"]).where("false")).collect() == []
+    docs = frame(spark, ["one  text"] * 40 + ["one text", "other"] + [None] * 3).withColumn("key", F.lit("clash")).withColumn("chain", F.lit(1)).withColumn("n", F.lit(2))
+    got = exact_dedup.exact_dedup(docs, hot_rows=10).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(i, 0, 41, i == 0) for i in range(41)] + [(41, 41, 1, True)] + [(i, 42, 3, i == 42) for i in (42, 43, 44)]
+    assert exact_dedup.directory_depth(10**6, 4096) == (10, 4096) and exact_dedup.directory_depth(10**12, 4096)[0] <= 20
+
+
+def test_words_that_fool_polynomial_hashes_differ(spark):
+    for n in (1024, 2048):
+        word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        assert len(set(jaccard_join.word_hashes([word, other])[0].tolist())) == 2
+        got = jaccard_join.jaccard_components(frame(spark, [word, other])).collect()
+        assert sorted(r.component_id for r in got) == [0, 1]
