@@ -16,12 +16,22 @@ never results. A signature with more than ``most`` classes is hot: only its smal
 class is paired with the others. ``n1`` is larger than the pigeonhole asks, and a class
 counts the parts it cannot rely on (an empty or a hot signature); while some part is
 left for either of two classes, the pair is found by a small group. Classes that have
-none left, such as those that consist of frequent shingles, go through the same once
-more among themselves over the whole domain. Pairs in which neither class has a part
-left even then are found by an exact prefix-filter join among just those classes, rare
-shingles first, after all pairs above have been merged, so that members of one
-component are not paired again. Nothing is dropped: each linked pair either is verified
-or already lies within one component.
+none left, such as those of a large group of near copies, are weak. Pairs of two weak
+classes are found in another way:
+
+* Signatures over the whole domain name a partner for each; what is similar enough to a
+  partner (``KIN`` percent) forms clusters, and the class with most partners in one is
+  its hub. This too steers cost alone.
+* Every class of a cluster is compared with its hub. Of two classes x and y the difference
+  of x and y is that of (x less or beyond the hub) and (y less or beyond the hub), so two
+  that link either are both near enough to the hub to link with it, or their differences
+  from the hub have a number of shingles in common. The latter are found by a prefix-filter
+  join over the differences, rare shingles first: what the whole group shares is in no
+  difference at all, so the work grows with the group and not with its square.
+* Weak classes of different hubs are found by a prefix-filter join over their sets.
+
+All this is after the pairs above have been merged, and for pairs of different components
+only. Nothing is dropped: each linked pair either is verified or lies in one component.
 
 Signatures travel packed, by part of the signature range; sets travel for
 verification only, for classes with a candidate (a filter of bounded size tells
@@ -29,8 +39,10 @@ which). The graph of links is contracted to components as a distributed table.
 
 Edge cases: null and empty texts have no shingles and link with nothing, not even
 one another; texts of 1 to 4 words have one shingle; repeated rows fall in one
-class; a null doc_id takes part but never names a component that has another id; an
-empty table gives an empty result. Shingles and sets are known by 64-bit hashes.
+class; a null doc_id takes part but never names a component that has another id; words
+and texts of any length are taken whole; extra columns, whatever their names, are passed
+over (``keep_one`` keeps them); an empty table gives an empty result. Words, shingles
+and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -246,26 +258,13 @@ def _packed_sets(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     return sets.select("cls", "shingles").mapInArrow(run, PACKED)
 
 
-def _set_slack(sets: DataFrame, percent: int) -> DataFrame:
-    """``cls, slack0, slack1`` of packed sets over the whole domain."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            sizes = np.array([len(s) for s in some], np.int64)
-            flat, doc = np.concatenate([*some, np.empty(0, np.uint64)]), np.repeat(np.arange(len(some)), sizes)
-            slack = [signatures(flat, doc, sizes, u, percent)[2].astype(np.int32) for u in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slack[0]), pa.array(slack[1])], names=["cls", "slack0", "slack1"])
-
-    return sets.select("cls", "shingles").mapInArrow(run, "cls long, slack0 int, slack1 int")
-
-
 FOUND = "kind int, a long, b long, n long"
 
 
 def _search_bucket(most: int):
     """From the packed rows of one bucket: pairs (kind 0: classes, number of signatures)
-    and hot signatures of a class (kind 1: class, instance, number)."""
+    and hot signatures of a class (kind 1: class, instance, number). With ``most`` 1 all
+    pairs are those of a class and the smallest of a signature, and kind 1 is left out."""
 
     def find(key, rows):
         sigs, classes, upper = [], [], []
@@ -307,7 +306,7 @@ def _search_bucket(most: int):
         b_parts.append(cls[inside & ~first])
         a, b = np.concatenate(a_parts), np.concatenate(b_parts)
         out = []
-        for kind, x, y in ((0, a, b), (1, cls[inside], up[inside].astype(np.int64))):
+        for kind, x, y in ((0, a, b), (1, cls[inside], up[inside].astype(np.int64)))[: 1 if most == 1 else 2]:
             o = np.lexsort((y, x))
             x, y = x[o], y[o]
             new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])) if len(x) else np.empty(0, np.int64)
@@ -358,54 +357,133 @@ def _sets_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return materialize(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).withColumn("n", F.length("shingles") / 8), "jaccard-sets")
 
 
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b`` with the sizes ``na, nb`` of their sets and ``both``, what they share."""
+    left = sets.select(F.col("cls").alias("a"), F.col("n").cast("long").alias("na"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").cast("long").alias("nb"), F.col("shingles").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], names=["a", "b", "na", "nb", "both"])
+
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, both long")
+
+
+def _alike(percent: int):
+    """Whether the two sets of a compared pair have at least this similarity."""
+    return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link. Sizes are compared before any set travels."""
     sizes = sets.select("cls", "n")
     near = pairs.select("a", "b").join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
     near = near.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b")
-    left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    sized = near.join(left, "a").join(right, "b")
+    return _compare(near, sets).where(_alike(percent)).select("a", "b")
+
+
+#: Similarity in percent of classes that are put into one cluster.
+KIN = 40
+
+
+def _hubs(kin: DataFrame) -> DataFrame:
+    """``cls, hub``: of each cluster (edges ``a, b``) the class with most of the edges."""
+    ends = kin.select(F.col("a").alias("node")).unionAll(kin.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    of = components(kin).join(ends, "node")
+    hub = of.groupBy("root").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
+    return of.join(hub, "root").select(F.col("node").alias("cls"), "hub")
+
+
+def _from_hubs(weak: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cls, hub, n, hn, both, apart`` of weak classes with another hub: sizes, what they
+    share, and the shingles that only one of the two has, packed."""
+    own = weak.join(hubs, "cls").where("cls <> hub").join(sets.select("cls", "n", F.col("shingles").alias("x")), "cls")
+    wide = own.join(sets.select(F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("shingles").alias("y")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            both, apart = [], []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                diff = np.setxor1d(x, y, assume_unique=True)
+                both.append((len(x) + len(y) - len(diff)) // 2)
+                apart.append(diff.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64()), pa.array(apart, pa.binary())], names=["cls", "hub", "n", "hn", "both", "apart"])
 
-    return sized.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return wide.select("cls", "hub", F.col("n").cast("long").alias("n"), F.col("hn").cast("long").alias("hn"), "x", "y").mapInArrow(run, "cls long, hub long, n long, hn long, both long, apart binary")
 
 
-def _prefix_pairs(weak: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of weak classes of different components that share a shingle of their
-    prefixes: the (1 - similarity) * size + 1 shingles that the fewest weak classes have."""
+def _spread(rows: DataFrame, packed: str) -> DataFrame:
+    """``cls, hub, n, size, shingle``: a row for each of the packed shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            some = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
             sizes = np.array([len(x) for x in some], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int64), sizes)), pa.array(np.concatenate([*some, np.empty(0, np.uint64)]).view(np.int64))], names=["cls", "shingle"])
+            at = np.repeat(np.arange(len(some)), sizes)
+            arrays = [batch.column(k).take(pa.array(at)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(sizes[at]), pa.array(np.concatenate([*some, np.empty(0, np.uint64)]).view(np.int64))], names=["cls", "hub", "n", "size", "shingle"])
+
+    return rows.select("cls", "hub", F.col("n").cast("long").alias("n"), packed).mapInArrow(run, "cls long, hub long, n long, size long, shingle long")
 
-    own = sets.join(weak, "cls", "left_semi").select("cls", "shingles").mapInArrow(run, "cls long, shingle long")
-    often = own.groupBy("shingle").agg(F.count("*").alias("df"))
+
+def _ranked(own: DataFrame, within: list[str]) -> DataFrame:
+    """With ``df``, how many rows have the shingle (for each of ``within``), and the ``rank``
+    of each of a class's shingles, rare ones first."""
+    often = own.groupBy(*within, "shingle").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))
-    n = F.count("*").over(Window.partitionBy("cls"))
-    ranked = own.join(often, "shingle").withColumn("rank", rank).withColumn("size", n)
-    prefix = ranked.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).select("cls", "shingle", "size", "rank")
-    own = prefix.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    own = materialize(own, "jaccard-prefixes")
-    mixed = own.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    own = own.join(mixed, "shingle", "left_semi")
-    side = lambda c: own.select("shingle", F.col("cls").alias(c), F.col("size").alias(f"n{c}"), F.col("root").alias(f"r{c}"), F.col("rank").alias(f"i{c}"))
-    x, y = side("a"), side("b")
-    near = (F.col("ra") < F.col("rb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    return own.join(often, [*within, "shingle"]).withColumn("rank", rank)
+
+
+def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    names = ("cls", "n", "size", "rank", "root", "kin")
+    return tuple(prefix.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "ab")
+
+
+def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _hub_pairs(diffs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of one hub and of different components whose differences from the
+    hub may have as much in common as a link asks: prefixes of the differences meet.
+
+    With difference sizes da, db and set sizes na, nb, classes link if and only if
+    da + db - 2 common <= limit = (na + nb) (100 - percent) / (100 + percent). A class may
+    leave out of its prefix what it shares with every partner of the least size."""
+    less, more = 100 - percent, 100 + percent
+    rows = _rooted(diffs, labels)
+    mixed = rows.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
+    rows = rows.join(mixed, "hub", "left_semi")
+    reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * less / more) + 1
+    own = _ranked(_spread(rows, "apart"), ["hub"])
+    prefix = own.where((F.col("rank") <= F.least("size", reach)) & (F.col("df") > 1)).withColumn("kin", F.col("hub"))
+    prefix = materialize(_rooted(prefix.drop("df"), labels), "jaccard-prefixes")
+    limit = (F.col("n_a") + F.col("n_b")) * less
+    room = 2 * (1 + F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b"))) * more >= (F.col("size_a") + F.col("size_b")) * more - limit
+    near = (F.abs(F.col("size_a") - F.col("size_b")) * more <= limit) & room
+    x, y = _sides(prefix)
+    return x.join(y.withColumnRenamed("kin_b", "kin_a"), ["shingle", "kin_a"]).where((F.col("root_a") < F.col("root_b")) & near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+
+
+def _prefix_pairs(weak: DataFrame, hubs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of weak classes of different hubs and components that share a shingle of their
+    prefixes: the (1 - similarity) * size + 1 shingles that the fewest weak classes have."""
+    rows = sets.join(weak, "cls", "left_semi").join(hubs, "cls", "left")
+    own = _ranked(_spread(rows, "shingles"), [])
+    prefix = own.where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1)).withColumn("kin", F.coalesce("hub", "cls"))
+    prefix = materialize(_rooted(prefix.drop("df", "hub"), labels), "jaccard-prefixes")
+    # of two hubs one at least is not the one that most classes with a shingle have
+    most = prefix.groupBy("shingle", "kin").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max_by("kin", F.struct("c", "kin")).alias("most"), F.count("*").alias("kins")).where("kins > 1")
+    x, y = _sides(prefix)
+    x = x.join(most.select("shingle", "most"), "shingle").where("kin_a <> most").drop("most")
     # were this the first shingle that a similar pair shares, so many would be left to share;
     # for some shingle it is the first
-    room = (1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    near = near & room
-    return x.join(y, "shingle").where(near).select("a", "b").distinct()
+    sizes = F.col("size_a") + F.col("size_b")
+    room = (1 + F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b"))) * (100 + percent) >= sizes * percent
+    near = (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent) & room
+    return x.join(y, "shingle").where((F.col("kin_a") != F.col("kin_b")) & (F.col("root_a") != F.col("root_b")) & near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -487,28 +565,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs, weak = found_by(_packed_signatures(docs, text_col, percent, buckets, sent), each)
     wanted = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(weak).distinct(), "jaccard-wanted")
     sets = _sets_of(docs, text_col, wanted)
-    weak_sets = sets.join(weak, "cls", "left_semi")
-    again, weak = found_by(_packed_sets(weak_sets, percent, buckets), _set_slack(weak_sets, percent))
-    pairs = materialize(pairs.union(again).groupBy("a", "b").agg(F.max("n").alias("n")), "jaccard-pairs")
+    # partners of weak classes, over the whole domain
+    packed = _packed_sets(sets.join(weak, "cls", "left_semi"), percent, buckets)
+    stars = packed.groupBy("bucket").applyInArrow(_search_bucket(1), FOUND).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    partner = stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
 
     # first each class with the partner it shares most signatures with, and with the
-    # smallest; then what is still apart
+    # smallest; then with its hub; then what is still apart
     ends = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "n").union(pairs.select("b", "a", "n"))
     best = ends.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("v"))).alias("v"))
     least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).union(least).distinct()
-    tried = materialize(tried, "jaccard-tried")
-    links = materialize(_verify(tried, sets, percent), "jaccard-links")
+    tried = best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).union(least).union(partner).distinct()
+    checked = materialize(_compare(tried, sets), "jaccard-tried")
+    hubs = materialize(_hubs(checked.where(_alike(KIN))), "jaccard-hubs")
+    diffs = materialize(_from_hubs(weak, hubs, sets), "jaccard-diffs")
+    to_hub = diffs.where(F.col("both") * 100 >= (F.col("n") + F.col("hn") - F.col("both")) * percent)
+    links = materialize(checked.where(_alike(percent)).select("a", "b").union(to_hub.select(F.least("cls", "hub"), F.greatest("cls", "hub"))).distinct(), "jaccard-links")
     labels = components(links)
-    rest = _apart(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels)
-    more = materialize(_verify(rest, sets, percent), "jaccard-links")
-    if not more.isEmpty():
+    rest = _apart(pairs.select("a", "b").join(checked, ["a", "b"], "left_anti"), labels)
+    for found in (rest, _hub_pairs(diffs, labels, percent).union(_prefix_pairs(weak, hubs, sets, labels, percent)).distinct()):
+        more = materialize(_verify(found, sets, percent), "jaccard-links")
         links = links.union(more)
-        labels = components(links)
-    last = materialize(_verify(_apart(_prefix_pairs(weak, sets, labels, percent), labels), sets, percent), "jaccard-links")
-    if not last.isEmpty():
-        links = links.union(last)
-        labels = components(links)
+    labels = components(links)
     copies = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"))
     if count_links:
         counts = materialize(_link_counts(labels, copies, sets, percent), "jaccard-link-counts")
