@@ -335,12 +335,18 @@ def test_every_later_text_has_a_row(spark):
 def test_all_places_of_a_text_count():
     centres = [[30], [10, 200], [50]]  # of three texts; the last has no partner
     number = {"key": [7, 7, 7, 8], "owner": [0, 1, 1, 2], "centre": sum(centres, []), "left": [9] * 4, "right": [60] * 4}
-    packed = {n: np.array(number.get(n, [5] * 4), kind).tobytes() for n, kind in substring_dedup.FIELDS}
+    packed = {n: np.array(number.get(n, [5] * 4), kind).tobytes() for n, kind in substring_dedup._fields(46)}
     rows = pa.table({"classes": [np.array([1, 2, 3]).tobytes()], **{n: [x] for n, x in packed.items()}})
     got = substring_dedup._stars(46)(None, rows).to_pylist()
     assert {(r["cls"], r["centre"]) for r in got} == {(1, 30), (2, 10), (2, 200)}
 
 
+@pytest.mark.parametrize("least", [2, 9, 46, 100])
+def test_a_pair_lies_within_every_passage(least):
+    for before in range(least):
+        assert any(a <= before and b <= least - 1 - before for a, b in substring_dedup.spans(least))
+
+
 def test_passages_of_nothing(spark):
     assert substring_dedup.repeated_passages(frame(spark, ["x"]).where("false")).collect() == []
     assert substring_dedup.repeated_passages(frame(spark, [None, "a b c"])).collect() == []
