@@ -269,3 +269,10 @@ def typed_argument(value: Column, kind: Column) -> Column:
     truth = F.when((kind == "boolean") & low.isin("true", "false"), low)
     nested = F.when(kind.isin("object", "array") & F.try_parse_json(value).isNotNull(), F.trim(value))
     return F.coalesce(F.when(low == "null", "null"), number, truth, nested, text)
+
+
+def numbered_passages(passages: Column) -> Column:
+    """Search results (an array of ``title, text``) as the text that a model reads: one
+    line each, numbered from 1, with its title."""
+    line = lambda p, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), F.coalesce(p["title"], F.lit("")), F.lit(") "), F.coalesce(p["text"], F.lit("")))
+    return F.array_join(F.transform(passages, line), "\n")

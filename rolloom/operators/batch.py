@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stable import stable
+
 ROW = "row_id"
 
 
@@ -16,7 +18,7 @@ def number_rows(df: DataFrame, *order: str | Column) -> DataFrame:
     """Add ``row_id`` by ``order`` without sending all rows through one task: rows are
     sorted by range, counted by partition, and numbered from their partition's start."""
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id())
-    placed = placed.persist()  # partition numbers and sequence must not change between the two uses
+    placed = stable(placed, "numbered")  # partition numbers and sequence must not change between the two uses
     starts = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__seq").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")  # a row for each partition
@@ -197,9 +199,37 @@ def minibatches(df: DataFrame, rows: int, epochs: int, seed: int = 0) -> DataFra
     if n % rows:
         raise ValueError(f"{n} rows don't make batches of {rows}")
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
-    key = F.md5(F.concat_ws("/", F.lit(str(seed)), "epoch", ROW))
-    ranked = out.withColumn("__rank", F.row_number().over(Window.partitionBy("epoch").orderBy(key, ROW)) - 1)
-    return ranked.withColumn("minibatch", F.floor(F.col("__rank") / rows).cast("long")).drop("__rank")
+    out = out.withColumn("__key", F.md5(F.concat_ws("/", F.lit(str(seed)), "epoch", ROW))).withColumn("__own", F.col(ROW))
+    # every epoch has ``n`` rows, so the place in the order of all gives the place in the epoch
+    ranked = number_rows(out.drop(ROW), "epoch", "__key", "__own")
+    place = F.col(ROW) - F.col("epoch") * n
+    return ranked.withColumn("minibatch", F.floor(place / rows).cast("long")).withColumn(ROW, F.col("__own")).select(*df.columns, "epoch", "minibatch")
+
+
+def upsample(df: DataFrame, multiple: int, neutral: dict[str, Column], uid: str = "uid") -> DataFrame:
+    """Append rows that teach nothing until the number of rows is a multiple: copies of the
+    first one with the columns of ``neutral`` put in and a ``uid`` of their own. Adds
+    ``is_padding``."""
+    n = size(df)
+    more = -n % multiple if n else 0
+    real = df.withColumn("is_padding", F.lit(False))
+    if not more:
+        return real
+    made = df.where(F.col(ROW) == 0).withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(more - 1))))
+    made = made.withColumns({**neutral, ROW: F.lit(n) + F.col("__k"), "is_padding": F.lit(True)})
+    if uid in df.columns and uid not in neutral:
+        made = made.withColumn(uid, F.lit("pad").cast(dict(df.dtypes)[uid]))
+    return real.unionByName(made.select(*[F.col(c).cast(k).alias(c) for c, k in real.dtypes]))
+
+
+def appended(left: DataFrame, right: DataFrame, prefix: str = "") -> DataFrame:
+    """One row: the lists of ``left`` (arrays) with the values of ``right`` (one row) at
+    their ends; a name that ``left`` lacks begins a list."""
+    names = {f"{prefix}{c}": c for c in right.columns}
+    told = right.select(*[F.col(c).alias(f"__{n}") for n, c in names.items()])
+    both = left.join(F.broadcast(told))  # one row
+    grown = [F.array_append(n, F.col(f"__{n}")).alias(n) if n in left.columns else F.array(f"__{n}").alias(n) for n in names]
+    return both.select(*[c for c in left.columns if c not in names], *grown)
 
 
 def same(left: DataFrame, right: DataFrame) -> bool:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import number_rows
+
 
 def digest(seed: int, salt: str, *keys: Column | str) -> Column:
     """sha256 of seed, salt and keys (null: empty), as hex."""
@@ -28,11 +30,11 @@ def task_number(task: Column) -> Column:
 def task_partition(rows: DataFrame, fraction: float, seed: int, task: str = "task_id") -> DataFrame:
     """``task, is_test``: the first tasks in the order of their hashes, a half-even rounded
     share of them, one at least and not all. Tasks are few; rows stay where they are."""
-    tasks = rows.select(task).distinct()
-    rank = F.row_number().over(Window.orderBy(F.substring(F.sha2(F.concat(F.lit(f"{seed}/"), task), 256), 1, 16), task))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    held = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(float(fraction))).cast("long")))
-    return tasks.withColumns({"__r": rank, "__h": held}).select(task, (F.col("__r") <= F.col("__h")).alias("is_test"))
+    tasks = rows.select(F.col(task).alias("__task")).distinct().withColumn("__hash", F.substring(F.sha2(F.concat(F.lit(f"{seed}/"), "__task"), 256), 1, 16))
+    tasks = number_rows(tasks, "__hash", "__task")
+    count = tasks.agg(F.count("*").alias("__n"))  # one row
+    held = F.greatest(F.lit(1), F.least(F.col("__n") - 1, F.bround(F.col("__n") * F.lit(float(fraction))).cast("long")))
+    return tasks.join(F.broadcast(count)).select(F.col("__task").alias(task), (F.col("row_id") < held).alias("is_test"))
 
 
 def hold_out(rows: DataFrame, fraction: float, seed: int, task: str = "task_id", row: str = "row_id") -> DataFrame:
@@ -135,6 +137,10 @@ def lookup_in_order(rows: DataFrame, ids: Sequence[str], key: str = "task_id") -
 def peer_solutions(samples: DataFrame, threshold: float, uid: str = "uid", score: str = "score", text: str = "response", row: str = "row_id") -> DataFrame:
     """Add ``peer``: the text of the earliest other sample of the group that reached the
     threshold. The two earliest of a group are enough to leave out oneself."""
-    good = samples.where(F.col(score) >= threshold).groupBy(uid).agg(F.slice(F.array_sort(F.collect_list(F.struct(row, text))), 1, 2).alias("__good"))
-    own = F.filter("__good", lambda g: g[row] != F.col(row))
-    return samples.join(good, uid, "left").withColumn("peer", F.try_element_at(own, F.lit(1))[text]).drop("__good")
+    good = samples.where(F.col(score) >= threshold).select(uid, F.struct(row, text).alias("__g"))
+    least = good.groupBy(uid).agg(F.min("__g").alias("__first"))
+    # the second by the same minimum over the others, so no task holds a group's texts
+    others = good.join(least, uid).where(F.col(f"__g.{row}") != F.col(f"__first.{row}")).groupBy(uid).agg(F.min("__g").alias("__second"))
+    out = samples.join(least, uid, "left").join(others, uid, "left")
+    peer = F.when(F.col(f"__first.{row}") != F.col(row), F.col(f"__first.{text}")).otherwise(F.col(f"__second.{text}"))
+    return out.withColumn("peer", peer).drop("__first", "__second")

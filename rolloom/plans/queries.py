@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import divergence, parsing, scores
 from ..functions import tokens as tk
-from ..operators import advantage, balance, batch, correction, curation, datasets, groupwise, losses, messages, metrics
+from ..operators import advantage, balance, batch, correction, curation, datasets, groupwise, losses, messages, metrics, rewards
 from ..sources import files
 from ..streaming import queue as sample_queue
 from ..streaming import replay
@@ -617,9 +617,92 @@ def metrics_mixed_groups(spark, d):
     return metrics.mixed_groups(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus")
 
 
-@query("SELECT event_type AS data_source, round(avg(value), 4) AS score FROM events GROUP BY event_type")
+@query("""WITH r AS (SELECT o_custkey, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS s FROM orders GROUP BY o_custkey)
+    SELECT 'source' || (o_custkey % 7) AS data_source, round(avg(s), 4) + 0.0 AS test_score FROM r GROUP BY 1""")
 def eval_by_source(spark, d):
-    return rounded(table(spark, d, "events").groupBy(F.col("event_type").alias("data_source")).agg(F.avg("value").alias("score")))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("row_id")).agg(F.collect_list("o_orderstatus").alias("responses"))
+    rows = o.withColumn("data_source", F.concat(F.lit("source"), F.col("row_id") % 7)).withColumn("ground_truth", F.lit("F"))
+    return rounded(rewards.evaluate(rows, lambda source, said, truth: (said == truth).cast("double")))
+
+
+# -- reward managers -----------------------------------------------------------------
+
+_RESPONSES = "res AS (SELECT row_id, uid, count(*) AS size, sum(mask) AS n FROM tok GROUP BY row_id, uid), placed AS (SELECT *, CASE WHEN n > 0 THEN n - 1 ELSE size - 1 END AS place FROM res)"
+
+
+def _responses(spark, d):
+    return rollouts(spark, d).select("row_id", "uid", F.col("masks").alias("response_mask"))
+
+
+def _reward_rows(df, *more):
+    """Where a reward stands in its response, and how large it is (never 0 here)."""
+    found = F.filter(F.transform(rewards.TOKEN_SCORES, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != 0)
+    out = df.select("row_id", *more, F.size(rewards.TOKEN_SCORES).cast("long").alias("size"), F.size(found).cast("long").alias("n_rewards"), F.get(found, F.lit(0)).alias("f"))
+    return rounded(out.select("row_id", *more, "size", "n_rewards", F.col("f.i").cast("long").alias("place"), F.col("f.x").alias("reward")))
+
+
+@query(f"WITH {TOKENS_SQL}, {_RESPONSES} SELECT row_id, uid % 2 = 0 AS even, size, 1::BIGINT AS n_rewards, place::BIGINT AS place, round((uid % 5 + 1) / 4.0::DOUBLE, 4) + 0.0 AS reward FROM placed")
+def reward_naive(spark, d):
+    return _reward_rows(rewards.naive(_responses(spark, d), (F.col("uid") % 5 + 1) / 4.0, {"even": F.col("uid") % 2 == 0}), "even")
+
+
+@query(f"WITH {TOKENS_SQL}, {_RESPONSES} SELECT row_id, round((uid % 3 + 1) / 8.0::DOUBLE, 4) + 0.0 AS acc, size, 1::BIGINT AS n_rewards, place::BIGINT AS place, round((uid % 3 + 1) / 8.0::DOUBLE, 4) + 0.0 AS reward FROM placed")
+def reward_batch(spark, d):
+    return _reward_rows(rewards.get_manager("batch")(_responses(spark, d), (F.col("uid") % 3 + 1) / 8.0), "acc")
+
+
+@query(f"""WITH {TOKENS_SQL}, {_RESPONSES} SELECT row_id, CASE WHEN uid % 4 = 0 THEN 0.0::DOUBLE ELSE uid % 4 END AS acc, 0.0::DOUBLE AS acc_failed FROM placed""")
+def reward_prime(spark, d):
+    rows, score = _responses(spark, d), F.when(F.col("uid") % 4 != 0, F.col("uid") % 4)
+    good = rewards.all_or_nothing(rows, score, F.lit(False)).select("row_id", "acc")
+    failed = rewards.all_or_nothing(rows, score, F.col("uid") % 4 == 0).select("row_id", F.col("acc").alias("acc_failed"))
+    return good.join(failed, "row_id")
+
+
+@query(f"""WITH {TOKENS_SQL}, {_RESPONSES}, p AS (SELECT *, least(0.0::DOUBLE, -(n - (12 - 8)) / 8.0::DOUBLE * 0.5) AS over FROM placed)
+    SELECT row_id, 2.5::DOUBLE AS acc, round(over, 4) + 0.0 AS overlong_reward, over < 0 AS overlong, size, 1::BIGINT AS n_rewards, place::BIGINT AS place, round(2.5 + over, 4) + 0.0 AS reward FROM p""")
+def reward_dapo(spark, d):
+    made = rewards.with_overlong(_responses(spark, d), F.lit(2.5), most=12, buffer=8, factor=0.5, log=True)
+    return _reward_rows(made, "acc", "overlong_reward", "overlong")
+
+
+@query(f"WITH {TOKENS_SQL}, {_RESPONSES} SELECT row_id, uid % 2 AS shape, uid % 3 AS answer, size, 1::BIGINT AS n_rewards, place::BIGINT AS place, (uid % 2 + uid % 3 + 1)::DOUBLE AS reward FROM placed")
+def reward_gdpo(spark, d):
+    parts = {"shape": F.col("uid") % 2, "answer": F.col("uid") % 3}
+    return _reward_rows(rewards.several_scores(_responses(spark, d), F.col("uid") % 2 + F.col("uid") % 3 + 1, parts), "shape", "answer")
+
+
+@query(f"WITH {TOKENS_SQL} SELECT row_id, round(sum(reward), 4) + 0.0 AS total FROM tok GROUP BY row_id")
+def reward_from_model(spark, d):
+    rows = rollouts(spark, d).withColumnsRenamed({"rewards": "rm_scores", "masks": "response_mask"})
+    return rounded(rewards.naive(rows, F.lit(1.0)).select("row_id", tk.total(F.col(rewards.TOKEN_SCORES)).alias("total")))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT round(sum(reward * mask) / sum(mask), 4) + 0.0 AS mean FROM tok")
+def masked_mean_global(spark, d):
+    return rounded(groupwise.global_masked_mean(tokens(spark, d), "reward"))
+
+
+@query(f"WITH {TOKENS_SQL} SELECT {r4('avg(reward)', 'mean')}, {r4('max(reward)', 'max')}, {r4('min(reward)', 'min')}, {r4('stddev_samp(reward)', 'std')} FROM tok")
+def global_extent(spark, d):
+    return rounded(groupwise.global_extent(tokens(spark, d), "reward"))
+
+
+@query("SELECT o_orderkey, o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS gid FROM orders")
+def dense_groups(spark, d):
+    return groupwise.dense_group_ids(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "o_custkey", "gid")
+
+
+@query(f"""WITH {ORDERS_SQL}, n AS (SELECT count(*) AS n FROM ord) SELECT row_id, cust, status, price, FALSE AS is_padding FROM ord
+    UNION ALL SELECT n + k, -1, status, 0.0, TRUE FROM (SELECT * FROM ord WHERE row_id = 0), n, (SELECT unnest(range(64)) AS k) WHERE k < (64 - n % 64) % 64""")
+def batch_upsample(spark, d):
+    return batch.upsample(_orders(spark, d), 64, {"cust": F.lit(-1), "price": F.lit(0.0)})
+
+
+@query("SELECT list_append([1.5::DOUBLE, 2.5], avg(o_totalprice) - avg(o_totalprice)) AS loss, [count(*)] AS n FROM orders")
+def lists_appended(spark, d):
+    kept = spark.range(1).select(F.array(F.lit(1.5), F.lit(2.5)).alias("loss"))
+    return batch.appended(kept, table(spark, d, "orders").agg((F.avg("o_totalprice") - F.avg("o_totalprice")).alias("loss"), F.count("*").alias("n")))
 
 
 # -- curation ------------------------------------------------------------------------
@@ -737,11 +820,11 @@ def loss_masks(spark, d):
 
 # -- scores --------------------------------------------------------------------------
 
-_SAID = "said AS (SELECT o_orderkey, 'So the total is 1,' || (o_orderkey % 1000) || ' #### ' || (o_orderkey % 10) || ',' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') AS text, ((o_orderkey % 10) * 1000 + o_custkey % 1000 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::VARCHAR AS truth FROM orders WHERE o_orderkey % 10 > 0)"
+_SAID = "said AS (SELECT o_orderkey, 'So the total is 1,' || (o_orderkey % 1000) || ' #### ' || (o_orderkey % 10) || ',' || lpad((o_custkey % 1000)::VARCHAR, 3, '0') AS text, ((o_orderkey % 10) * 1000 + o_custkey % 1000 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::VARCHAR AS truth FROM orders)"
 
 
 def _said(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 > 0")
+    o = table(spark, d, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     text = F.concat(F.lit("So the total is 1,"), k % 1000, F.lit(" #### "), k % 10, F.lit(","), F.lpad((c % 1000).cast("string"), 3, "0"))
     return o.select("o_orderkey", text.alias("text"), ((k % 10) * 1000 + c % 1000 + F.when(k % 3 == 0, 1).otherwise(0)).cast("string").alias("truth"))
@@ -781,12 +864,14 @@ def parsed_actions(spark, d):
     return e.select("event_id", parsing.parse_action(text).alias("a")).select("event_id", "a.kind", "a.name")
 
 
-@query("SELECT event_id, 'Doc 1 (Title: ' || event_type || ') ' || props AS rendered, CASE WHEN event_type = 'view' THEN 'other' ELSE 'other' END AS role FROM events")
+@query("""SELECT event_id, 'Doc 1 (Title: ' || event_type || ') ' || props || chr(10) || 'Doc 2 (Title: id) ' || event_id AS rendered,
+    CASE event_type WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write' WHEN 'signup' THEN 'transfer' WHEN 'error' THEN 'done' ELSE 'other' END AS role FROM events""")
 def rendered_passages(spark, d):
     e = table(spark, d, "events")
-    docs = F.array(F.struct(F.col("event_type").alias("title"), F.col("props").alias("text")))
-    shown = F.array_join(F.transform(docs, lambda x, i: F.concat(F.lit("Doc "), i + 1, F.lit(" (Title: "), x["title"], F.lit(") "), x["text"])), "\n")
-    return e.select("event_id", shown.alias("rendered"), parsing.tool_role(F.col("event_type")).alias("role"))
+    passages = F.array(F.struct(F.col("event_type").alias("title"), F.col("props").alias("text")), F.struct(F.lit("id").alias("title"), F.col("event_id").cast("string").alias("text")))
+    kind = F.col("event_type")
+    tool = F.when(kind == "view", "get_view").when(kind == "purchase", "book_purchase").when(kind == "signup", "transfer_to_human_agents").when(kind == "error", " Done ").otherwise(kind)
+    return e.select("event_id", parsing.numbered_passages(passages).alias("rendered"), parsing.tool_role(tool).alias("role"))
 
 
 # -- balance, dataset maps, streams --------------------------------------------------
@@ -819,8 +904,8 @@ def model_flops(spark, d):
 @query("SELECT conv_id, turn, side, text FROM (SELECT conv_id, turn, unnest(['chosen', 'rejected']) AS side, unnest([text, 'no: ' || text]) AS text FROM conversations WHERE role = 'assistant')")
 def preference_unpivot(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant'")
-    each = F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("text")), F.struct(F.lit("rejected").alias("side"), F.concat(F.lit("no: "), "text").alias("text")))).alias("x")
-    return c.select("conv_id", "turn", each).select("conv_id", "turn", "x.*")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("chosen"), F.concat(F.lit("no: "), "text").alias("rejected"))
+    return datasets.preference_rows(pairs).withColumnRenamed("response", "text")
 
 
 @query("SELECT conv_id, turn, 'user' AS role, text || ' Answer after ####.' AS content, 'rule' AS style, length(text)::VARCHAR AS ground_truth FROM conversations WHERE role = 'user'")
@@ -857,12 +942,12 @@ def bounded_queue(spark, d):
     return sample_queue.run_queue_batch(log, 64)
 
 
-@query("""WITH l AS (SELECT 'p' || (o_custkey % 3) AS partition, o_custkey AS key, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'failure' ELSE 'running' END AS tag, o_custkey % 20 AS step, o_orderkey AS version FROM orders WHERE o_orderstatus <> 'O' OR o_custkey % 20 < 10),
+@query("""WITH l AS (SELECT 'p' || (o_custkey % 3) AS partition, o_custkey AS key, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'failure' ELSE CASE WHEN o_custkey % 20 < 10 THEN 'success' ELSE 'running' END END AS tag, o_custkey % 20 AS step, o_orderkey AS version FROM orders),
     n AS (SELECT partition, key, arg_max(tag, version) AS tag, arg_max(step, version) AS step FROM l GROUP BY ALL), d AS (SELECT step FROM n WHERE partition = 'p1' GROUP BY step HAVING count(*) FILTER (tag = 'running') = 0)
     SELECT key, step FROM n WHERE partition = 'p1' AND tag = 'success' AND step IN (SELECT step FROM d)""")
 def replay_ready(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus <> 'O' OR o_custkey % 20 < 10")
-    tag = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "P", "failure").otherwise("running")
+    o = table(spark, d, "orders")
+    tag = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "P", "failure").when(F.col("o_custkey") % 20 < 10, "success").otherwise("running")
     log = o.select(F.concat(F.lit("p"), F.col("o_custkey") % 3).alias("partition"), F.col("o_custkey").alias("key"), tag.alias("tag"), (F.col("o_custkey") % 20).alias("step"), F.col("o_orderkey").alias("version"))
     return replay.ready(replay.latest(log), "p1").select("key", "step")
 
