@@ -62,9 +62,11 @@ def place(df: DataFrame, shards: Sequence[str], key_col: str = "doc_id", slots_p
     owner = ",".join(map(str, fill_table(shards, slots)))
     names = F.array(*[F.lit(s) for s in shards])
     # one row of text, split where it runs: the table comes from SQL alone
-    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.concat(F.lit(owner), F.when(F.col("id") < 0, "").otherwise("")), ",")).alias("__slot", "__owner"))
-    lookup = lookup.select("__slot", F.element_at(names, F.col("__owner").cast("int") + 1).alias("__shard"))
+    free = [n for n in (f"__slot{k}" for k in range(len(df.columns) + 2)) if n not in df.columns]
+    own, named = free[:2]
+    lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.concat(F.lit(owner), F.when(F.col("id") < 0, "").otherwise("")), ",")).alias(own, "owner"))
+    lookup = lookup.select(own, F.element_at(names, F.col("owner").cast("int") + 1).alias(named))
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     slot = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
-    keyed = df.drop(slot_col, shard_col).withColumn("__slot", slot)
-    return keyed.join(F.broadcast(lookup), "__slot").withColumnsRenamed({"__slot": slot_col, "__shard": shard_col})
+    keyed = df.withColumn(own, slot).drop(*[c for c in (slot_col, shard_col) if c in df.columns])
+    return keyed.join(F.broadcast(lookup), own).withColumnsRenamed({own: slot_col, named: shard_col})
