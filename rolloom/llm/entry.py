@@ -76,9 +76,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import RULE_SCHEMA, judge_urls
+    from .url_filter import judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {_RULE_LIST} AS rules(host, path, verdict)"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,39 @@ _SHARD_LIST = ", ".join(f"('{s}', {i})" for i, s in enumerate(SHARDS))
 _RULE_LIST = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Links and components of small tables; every pair that shares a shingle is counted.
+_JACCARD = f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^{SPACE}]+') AS w FROM documents),
+        e AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))
+                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM d),
+        x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM e),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+                 AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY 1, 2),
+        links AS (SELECT a, b FROM met WHERE 100 * shared >= 80 * (na + nb - shared)),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+        n AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM e JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+_TEST_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OVERLAP = f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TEST_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+        b AS (SELECT row_number() OVER () AS i, coalesce(item_id::VARCHAR, '') AS id, {_TEST_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+        bm AS (SELECT *, least(len(w), 10) AS m FROM b WHERE len(w) > 0),
+        bw AS (SELECT i, id, m, s, list_slice(w, s, s + m - 1) AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS s FROM bm)),
+        dw AS (SELECT r, m, p, list_slice(w, p, p + m - 1) AS g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM bm))),
+        hit AS (SELECT r, p, m, i, id, s FROM dw JOIN bw USING (m, g)),
+        words AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, p + unnest(range(m)) AS place FROM (SELECT DISTINCT r, p, m FROM hit)) GROUP BY r),
+        items AS (SELECT r, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hit GROUP BY r),
+        runs AS (SELECT r, min(p) AS begin, max(p + m) - min(p) AS size FROM (SELECT *, p - row_number() OVER (PARTITION BY r, i, s - p ORDER BY p) AS run FROM hit) GROUP BY r, i, s - p, run),
+        best AS (SELECT r, max(size) AS longest, min(begin) FILTER (size = top) - 1 AS longest_start FROM (SELECT *, max(size) OVER (PARTITION BY r) AS top FROM runs) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::INTEGER AS longest, coalesce(longest_start, -1)::INTEGER AS longest_start
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": _JACCARD,
+    "op8_decontamination": _OVERLAP,
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[{SPACE}]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)

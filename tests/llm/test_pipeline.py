@@ -38,7 +38,7 @@ def test_queries_match_their_sql(spark):
     from rolloom.llm import entry
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in entry.ORACLES.items():
         df = entry.QUERIES[name](spark, SF)
