@@ -239,3 +239,11 @@ def distillation_loss(tokens: DataFrame, kind: str = "k1", most: float | None =
     out = tokens.withColumn("__loss", each)
     ends = out.agg(F.min(F.when(A("mask") != 0, A("__loss"))).alias("loss_min"), F.max(F.when(A("mask") != 0, A("__loss"))).alias("loss_max"))
     return aggregate_loss(out, "__loss", mode).join(F.broadcast(ends))
+
+
+def topk_forward_kl(tokens: DataFrame, loss: str = "loss", student: str = "student_mass", teacher: str = "teacher_mass") -> tuple[DataFrame, DataFrame]:
+    """Tokens with the loss over the likeliest tokens made no less than 0 (what such a part
+    of two distributions gives may be negative), and one row of how much of each
+    distribution the part holds, over the mask: mean, min and max."""
+    told = [f(_inside(F.col(c))).alias(f"{c}{name}") for c in (student, teacher) for f, name in ((F.avg, ""), (F.min, "_min"), (F.max, "_max"))]
+    return tokens.withColumn(loss, F.greatest(F.lit(0.0), F.col(loss))), tokens.agg(*told)

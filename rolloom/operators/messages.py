@@ -122,3 +122,50 @@ def token_budget(rows: DataFrame, segs: str = "segments") -> DataFrame:
     each = rows.select(F.explode(segs).alias("s")).groupBy("s.role").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("s.token_end") - F.col("s.token_start")).alias("tokens"))
     whole = each.agg(F.sum("tokens").alias("t"))  # one row
     return each.join(F.broadcast(whole)).select("role", "segments", "tokens", (F.col("tokens") / F.col("t")).alias("share"))
+
+
+def found_messages(direct: Column, *payloads: Column) -> Column:
+    """The messages of an episode: its own list, or that of the first of the recorded runs
+    (JSON texts with ``messages``) that has one. Null if none has."""
+    kind = "struct<messages:array<struct<role:string,content:string,tools:array<string>>>>"
+    return F.coalesce(direct, *[F.from_json(p, kind)["messages"] for p in payloads])
+
+
+def thoughts_of(turns: Column) -> Column:
+    """Trimmed thinking of each turn of an episode; empty where a turn has none."""
+    return F.coalesce(F.transform(turns, lambda t: F.trim(F.coalesce(t["thinking_text"], F.lit("")))), F.array().cast("array<string>"))
+
+
+def without_greeting(messages: Column) -> Column:
+    """Messages less an assistant's greeting (no calls) before anybody else but the system spoke."""
+    greets = lambda m: (m["role"] == "assistant") & (F.coalesce(F.size(m["tools"]), F.lit(0)) <= 0)
+    first = F.filter(F.transform(messages, lambda m, i: F.when(m["role"] != "system", i)), lambda i: i.isNotNull())
+    drop = F.coalesce(greets(F.get(F.filter(messages, lambda m: m["role"] != "system"), F.lit(0))), F.lit(False))
+    place = F.when(drop, F.get(first, F.lit(0))).otherwise(-1)
+    return F.filter(messages, lambda m, i: i != place)
+
+
+def training_messages(messages: Column, system_prompt: Column | None = None, thoughts: Column | None = None) -> Column:
+    """What a model is trained on: a system prompt put first where there is none, without
+    the greeting, and each assistant turn's thinking (``thoughts``, by turn) before its
+    text. An unknown role raises."""
+    fine = F.forall(messages, lambda m: F.coalesce(m["role"].isin("system", "user", "assistant", "tool"), F.lit(False)))
+    known = F.when(fine, messages).otherwise(F.raise_error(F.lit("a message has an unknown role")))
+    kept = without_greeting(known)
+    if thoughts is not None:
+        turn = lambda i: F.size(F.filter(F.slice(kept, 1, i), lambda m: m["role"] == "assistant"))
+        lead = lambda i: F.concat(F.lit("<think>\n"), F.get(thoughts, turn(i)), F.lit("\n</think>"))
+        calls = lambda m: F.coalesce(F.size(m["tools"]), F.lit(0)) > 0
+
+        def said(m, i):
+            some = (m["role"] == "assistant") & (F.coalesce(F.get(thoughts, turn(i)), F.lit("")) != "")
+            text = F.when(m["content"].isNotNull(), F.concat(lead(i), F.lit("\n"), m["content"])).when(calls(m), lead(i))
+            return m.withField("content", F.when(some, text).otherwise(m["content"]))
+
+        kept = F.transform(kept, said)
+    if system_prompt is None:
+        return kept
+    prompt = F.trim(F.coalesce(system_prompt, F.lit("")))
+    lead_in = F.array(F.struct(F.lit("system").alias("role"), prompt.alias("content"), F.array().cast("array<string>").alias("tools")))
+    first = F.coalesce(F.get(messages, F.lit(0))["role"] == "system", F.lit(False))
+    return F.when((prompt != "") & ~first, F.concat(lead_in, kept)).otherwise(kept)

@@ -797,6 +797,29 @@ def expand_turns(spark, d):
     return t.select("conv_id", "assistant_turn_index", "source_message_index", F.size("history").cast("long").alias("history_size"), F.length("target.content").cast("long").alias("target_size"))
 
 
+@query(f"""WITH {_FIRST}, c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, coalesce(first_role, '') AS first_role FROM conversations LEFT JOIN first USING (conv_id)),
+      kept AS (SELECT *, k - CASE WHEN first_role = 'assistant' THEN 2 ELSE 1 END AS t FROM c WHERE NOT (role = 'assistant' AND first_role = 'assistant' AND k = 1)),
+      said AS (SELECT conv_id, p, role, CASE WHEN role = 'assistant' AND t % 2 = 0 THEN '<think>' || chr(10) || 'turn ' || t || chr(10) || '</think>' || chr(10) || text ELSE text END AS content FROM kept
+        UNION ALL SELECT conv_id, 0, 'system', 'Be brief.' FROM (SELECT conv_id, arg_min(role, turn) AS r FROM conversations GROUP BY conv_id) WHERE conv_id % 3 = 0 AND r <> 'system')
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS pos, role, content FROM said""")
+def sft_messages(spark, d):
+    turns = F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: F.struct(F.when(i % 2 == 0, F.concat(F.lit(" turn "), i.cast("string"), F.lit(" "))).alias("thinking_text")))
+    direct = F.when(F.col("conv_id") % 2 == 0, F.col("messages"))
+    episodes = _convs(spark, d).withColumn("run", F.to_json(F.struct("messages")))
+    found = messages.found_messages(direct, F.lit("{}"), F.col("run"))
+    prompt = F.when(F.col("conv_id") % 3 == 0, " Be brief. ").otherwise("  ")
+    made = episodes.select("conv_id", F.posexplode(messages.training_messages(found, prompt, messages.thoughts_of(turns))).alias("pos", "m"))
+    return made.select("conv_id", F.col("pos").cast("long").alias("pos"), "m.role", "m.content")
+
+
+@query(f"""WITH {TOKENS_SQL} SELECT {r4('avg(old_logp + 2) FILTER (mask <> 0)', 'student_mass')}, {r4('min(old_logp + 2) FILTER (mask <> 0)', 'student_mass_min')}, {r4('max(old_logp + 2) FILTER (mask <> 0)', 'student_mass_max')},
+    {r4('avg(logp + 2) FILTER (mask <> 0)', 'teacher_mass')}, {r4('min(logp + 2) FILTER (mask <> 0)', 'teacher_mass_min')}, {r4('max(logp + 2) FILTER (mask <> 0)', 'teacher_mass_max')}, {r4('(SELECT sum(greatest(advantage, 0)) FROM tok)', 'loss')} FROM tok""")
+def loss_topk_distillation(spark, d):
+    t = tokens(spark, d).select("mask", F.col("advantage").alias("loss"), (F.col("old_logp") + 2).alias("student_mass"), (F.col("logp") + 2).alias("teacher_mass"))
+    made, told = losses.topk_forward_kl(t)
+    return rounded(told.join(made.agg(F.sum("loss").alias("loss"))))
+
+
 @query("""SELECT conv_id, CASE WHEN bool_or(role NOT IN ('system', 'user', 'assistant', 'tool')) THEN 'bad_role' WHEN bool_or(role = 'assistant' AND trim(coalesce(text, '')) = '') THEN 'empty_assistant' END AS reason FROM conversations GROUP BY conv_id""")
 def protocol_reason(spark, d):
     return _convs(spark, d).select("conv_id", messages.protocol_reason(F.col("messages")).alias("reason"))
