@@ -866,7 +866,7 @@ def score_question(spark, d):
     return p.select("p_partkey", scores.qa_score(text, F.array("p_name")).alias("score"))
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM part")
 def score_boxed(spark, d):
     p = table(spark, d, "part")
     k = F.col("p_size")
@@ -880,7 +880,7 @@ def overlong_penalty(spark, d):
     return rounded(table(spark, d, "events").select("event_id", scores.overlong_penalty(F.col("value"), 100, 20).alias("penalty")))
 
 
-@query()
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'tool_json' WHEN 1 THEN 'tool_functional' ELSE 'plain_text' END AS kind, CASE WHEN event_id % 3 < 2 THEN event_type END AS name FROM events""")
 def parsed_actions(spark, d):
     e = table(spark, d, "events")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('<think>x</think>{"name": "'), F.col("event_type"), F.lit('", "arguments": '), F.col("props"), F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.col("event_type"), F.lit("(1)"))).otherwise(F.col("event_type"))
