@@ -69,4 +69,5 @@ def place(df: DataFrame, shards: Sequence[str], key_col: str = "doc_id", slots_p
     key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
     slot = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("int")
     keyed = df.withColumn(own, slot).drop(*[c for c in (slot_col, shard_col) if c in df.columns])
-    return keyed.join(F.broadcast(lookup), own).withColumnsRenamed({own: slot_col, named: shard_col})
+    kept = [c for c in df.columns if c not in (slot_col, shard_col)]
+    return keyed.join(F.broadcast(lookup), own).select(*kept, F.col(own).alias(slot_col), F.col(named).alias(shard_col))
