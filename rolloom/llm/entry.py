@@ -95,6 +95,12 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_secret_scan": op10_secret_scan,
     "op12_token_counts": op12_token_counts,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
@@ -150,7 +157,30 @@ _OVERLAP = f"""
                coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::INTEGER AS longest, coalesce(longest_start, -1)::INTEGER AS longest_start
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)"""
 
+
+
+def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
+    """All distances in every round, round by round."""
+    assign = """a{r} AS MATERIALIZED (SELECT n, (arg_min(struct_pack(j := j, d := d), struct_pack(d := d, j := j))).j AS j, min(d) AS d
+             FROM (SELECT n, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM x, c{r}) GROUP BY n)"""
+    update = """c{r} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{b} c LEFT JOIN (
+             SELECT j, list(floor(s / cnt::DOUBLE)::BIGINT ORDER BY i) AS c FROM (
+               SELECT j, i, sum(e)::BIGINT AS s, count(*) AS cnt FROM (SELECT a.j, unnest(x.v) AS e, unnest(range(len(x.v))) AS i FROM a{b} a JOIN x USING (n)) GROUP BY j, i) GROUP BY j) m USING (j))"""
+    steps = [assign.format(r=0)]
+    for r in range(1, rounds + 1):
+        steps += [update.format(r=r, b=r - 1), assign.format(r=r)]
+    return f"""
+        WITH x AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT v, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM x ORDER BY h, v LIMIT {k})),
+        {", ".join(steps)},
+        f AS (SELECT vec_id, j, d, sum(d) OVER (PARTITION BY j) AS ci, sum(d) OVER () AS ti FROM a{rounds} JOIN x USING (n))
+        SELECT vec_id, j::INTEGER AS cluster, d AS distance, ci::BIGINT AS cluster_inertia, ti::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM f JOIN c{rounds} USING (j)"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_centroids": _centroid_sql(),
     "op4_jaccard_join": _JACCARD,
     "op8_decontamination": _OVERLAP,
     "op2_exact_dedup": f"""
