@@ -15,29 +15,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bucketed, materialize, partitions, release
+from .common import BATCH_ROWS, bucketed, materialize, partitions, release, whole_vectors
 
 #: Vectors in a block.
 BLOCK = BATCH_ROWS
-#: Components beyond this would not leave room for squared distances in a long.
-MOST_COMPONENT = 1 << 27
 #: Bounds are widened by this share, so that rounding never hides a tie.
 SLACK = 1e-9
 
 
-def whole_vectors(df: DataFrame, vector_col: str, scale: int, dims: int | None, extra: Sequence[Column], most: int = MOST_COMPONENT) -> DataFrame:
-    """Rows whose vector has ``dims`` components (any number if None), none null, non-finite
-    or, times ``scale``, beyond ``most``; ``vector`` holds floor(scale * x), ``extra`` comes along."""
-    scaled = F.transform(vector_col, lambda x: x.cast("double") * scale)
-    usable = F.coalesce(F.forall(scaled, lambda x: F.coalesce((x > -most) & (x < most), F.lit(False))), F.lit(False))
-    chosen = df.select(*extra, scaled.alias("vector"), usable.alias("usable")).where("usable").drop("usable")
-    chosen = chosen.where(F.size("vector") == dims) if dims is not None else chosen
-    return chosen.withColumn("vector", F.transform("vector", lambda x: F.floor(x).cast("int")))
-
-
 def pack(batch: pa.RecordBatch, column: str, dims: int) -> np.ndarray:
     """The lists of a column as a matrix."""
     lists = batch.column(batch.schema.get_field_index(column))

@@ -96,6 +96,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Components beyond this would not leave room for squares and products of vectors in a long.
+MOST_COMPONENT = 1 << 27
+
+
+def whole_vectors(df: DataFrame, vector_col: str, scale: int, dims: int | None, extra: Sequence[Column], most: int = MOST_COMPONENT) -> DataFrame:
+    """Rows whose vector has ``dims`` components (any number if None), none null, non-finite
+    or, times ``scale``, beyond ``most``; ``vector`` holds floor(scale * x), ``extra`` comes along."""
+    scaled = F.transform(vector_col, lambda x: x.cast("double") * scale)
+    usable = F.coalesce(F.forall(scaled, lambda x: F.coalesce((x > -most) & (x < most), F.lit(False))), F.lit(False))
+    chosen = df.select(*extra, scaled.alias("vector"), usable.alias("usable")).where("usable").drop("usable")
+    chosen = chosen.where(F.size("vector") == dims) if dims is not None else chosen
+    return chosen.withColumn("vector", F.transform("vector", lambda x: F.floor(x).cast("int")))
+
+
 def fixpoint(step: Callable[[DataFrame], tuple[DataFrame, bool]], start: DataFrame) -> DataFrame:
     """Apply ``step`` until it reports no change."""
     state, changed = start, True
