@@ -8,7 +8,8 @@ looks random is taken for a live credential. Base spans are all reported whateve
 their class; bare tokens become spans only where they are live. A value shared by
 very many rows is counted by (hash, repository, owner) first; the answers for values of
 over ``hot_rows`` rows are broadcast (there is at most one for so many candidates), so no
-task gets the rows of such a value; only hashes and positions are shuffled, never text.
+task gets the rows of such a value; only hashes, positions and a digest a document are
+shuffled, never text.
 
 Without other columns, ``source`` stands for the owner and ``source/lang`` for the
 repository.
@@ -97,25 +98,23 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repo = F.coalesce(repo if repo is not None else F.concat_ws("/", "source", "lang"), F.lit(""))
     owner = F.coalesce(owner if owner is not None else F.col("source"), F.lit(""))
     given = docs.select(F.col(id_col).alias("id"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.col(text_col).alias("text"))
-    found = map_texts(given, "text", ["id", "repo", "owner"], FIELDS, lambda: _scan).withColumn("row", F.monotonically_increasing_id())
+    found = map_texts(given, "text", ["id", "repo", "owner"], FIELDS, lambda: _scan)
+    found = found.withColumn("base", F.sha2("base", 256)).withColumn("row", F.monotonically_increasing_id())
     found = materialize(found, "secret-candidates")
-    base = ["__id", "n_assign", "n_access", "n_hex", "base"]
-    each = found.select("row", *base, F.col("__repo").alias("repo"), F.col("__owner").alias("owner"), F.explode("candidates").alias("c")).withColumn("hash", F.col("c.hash"))
+    each = found.select("row", F.col("__repo").alias("repo"), F.col("__owner").alias("owner"), F.explode("candidates").alias("c")).withColumn("hash", F.col("c.hash"))
     known = materialize(ownership(each.select("hash", "repo", "owner")), "secret-owners")
     few = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     known = known.select("hash", few.alias("few"), (F.col("n") > hot_rows).alias("hot"))
     hot = known.where("hot").select("hash", F.col("few").alias("hot_few"))
-    marked = each.join(F.broadcast(hot), "hash", "left")
+    marked = each.select("row", "c", "hash").join(F.broadcast(hot), "hash", "left")
     judged = marked.where("hot_few is null").drop("hot_few").join(known.where("not hot").select("hash", "few"), "hash")
     judged = judged.unionByName(marked.where("hot_few is not null").withColumnRenamed("hot_few", "few")).withColumn("live", F.col("few") & F.col("c.random"))
     shown = F.when((F.col("c.kind") < 3) | F.col("live"), F.struct("c.start", "c.kind", "c.end"))
-    some = judged.groupBy("row", *base).agg(
-        F.sort_array(F.collect_list(shown)).alias("shown"), F.count_if("live").alias("n_live"), F.count_if(~F.col("few")).alias("n_example")
-    )
+    some = judged.groupBy("row").agg(F.sort_array(F.collect_list(shown)).alias("shown"), F.count_if("live").alias("n_live"), F.count_if(~F.col("few")).alias("n_example"))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     spans = F.array_join(F.transform("shown", lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start, s.end)), ",")
-    some = some.select(*base, spans.alias("spans"), "n_live", "n_example")
-    none = found.where(F.size("candidates") == 0).select(*base, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    return some.unionByName(none).select(
-        F.col("__id").alias(id_col), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example"
-    )
+    some = some.select(F.col("row").alias("of"), spans.alias("spans"), "n_live", "n_example")
+    counts = ("n_assign", "n_access", "n_hex")
+    none = found.where(F.size("candidates") == 0).select("__id", *counts, "base", F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
+    with_some = found.where(F.size("candidates") > 0).select("row", "__id", *counts, "base").join(some, F.col("row") == F.col("of")).select(*none.columns)
+    return with_some.unionByName(none).select(F.col("__id").alias(id_col), *counts, F.col("base").alias("base_sha256"), "spans", "n_live", "n_example")

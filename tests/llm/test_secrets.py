@@ -106,3 +106,23 @@ def test_repeated_rows_add_no_owner(spark):
     docs = spark.createDataFrame([(1, "key q8Zk3Xv9Lm2Rt5Yw7Bn4", "en", "me")] * 9 + [(None, None, None, None)], "doc_id long, text string, lang string, source string")
     got = secrets.scan_secrets(docs).collect()
     assert len(got) == 10 and sum(r.spans == "bare:4:24" and r.n_live == 1 for r in got) == 9
+
+
+def test_many_spans_of_one_text_stay_small(spark, monkeypatch):
+    """What is grouped grows with the spans, not with their square."""
+    made = {}
+    inner = secrets.materialize
+
+    def sized(df, name):
+        out = inner(df, name)
+        made.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(secrets, "materialize", sized)
+    rng = random.Random(5)
+    text = "\n".join("%032x" % rng.getrandbits(128) for _ in range(50_000))
+    docs = spark.createDataFrame([(1, text, "a", "en", 0, 0), (2, None, "b", "de", 0, 0)], "doc_id long, text string, source string, lang string, row int, hash int")
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert got[1].n_hex == len(got[1].spans.split(",")) == 50_000 and got[2].spans == ""
+    assert got[1].base_sha256 == hashlib.sha256(got[1].spans.encode()).hexdigest()
+    assert len(made["secret-candidates"][0].where("__id = 1").first().base) == 64
