@@ -94,8 +94,9 @@ def _with_budgets(rows: DataFrame, placed: DataFrame, id_col: str, weights: Sequ
     end = end.select("__skey", F.struct("__order", "id", "__size").alias("end"), F.floor((F.col("rest") - F.col("start")) / F.col("n")).alias("part"))
     decided = materialize(targets.join(end, "__skey", "left"), "mix-budgets")
     own = F.struct("__order", F.col(id_col).alias("id"), "__size")
-    cut = F.when(own < F.col("end"), F.col("__size")).when(own == F.col("end"), F.col("part")).otherwise(F.lit(0))
-    return rows.join(side(decided.withColumnsRenamed({"source_size": "__source_size", "target": "__target", "epochs": "__epochs"})), "__skey").withColumn("__cut", cut.cast("long")).drop("rest", "end", "part")
+    cut = F.when(own < F.col("__end"), F.col("__size")).when(own == F.col("__end"), F.col("__part")).otherwise(F.lit(0))
+    decided = decided.select("__skey", *[F.col(c).alias(f"__{c}") for c in ("source_size", "target", "epochs", "end", "part")])  # beside columns of any name
+    return rows.join(side(decided), "__skey").withColumn("__cut", cut.cast("long")).drop("__end", "__part")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cell_rows: int = 4_000, seed: int = 17) -> DataFrame:

@@ -10,7 +10,7 @@ from rolloom.llm import decontam, quality
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "se", "to", "vi", "za") for b in ("n", "ra", "st", "mo", "le", "pi")]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ("cls", "root", "block", "key", "size", "target", "hits", "items", "slot", "n")
+CLASHES = ("cls", "root", "block", "key", "size", "target", "hits", "items", "slot", "n", "end", "part", "rest", "epochs", "cell", "start")
 
 
 @pytest.fixture(scope="module")
