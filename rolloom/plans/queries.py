@@ -992,3 +992,6 @@ def training_step(spark, d):
     s = tokens(spark, d).groupBy("uid", "row_id").agg(F.coalesce(F.sum(F.when(F.col("mask") != 0, F.col("reward"))), F.lit(0.0)).alias("score"), F.sum("mask").alias("n"))
     a = advantage.grpo(s)
     return rounded(a.groupBy("uid").agg(F.count("*").alias("samples"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.max("advantage").alias("adv_max"), F.sum("n").alias("tokens")))
+
+
+from . import text_queries as _text_queries  # noqa: E402, F401  registers its queries here

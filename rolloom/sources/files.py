@@ -1,7 +1,8 @@
 """Files in and out. Readers are lazy and distributed; formats go by the file's ending.
 
-A seeded sample or the first N rows need an order: samples go by a hash of their place
-(file and position), heads by that place itself.
+A seeded sample or the first N rows need an order: samples go by a hash of their place (the
+file's name and the row's number in it), heads by that place itself. Neither depends on how
+files are split between tasks.
 """
 
 from __future__ import annotations
@@ -49,22 +50,27 @@ def _json(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def read_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None = None, most: int | None = None, seed: int | None = None) -> DataFrame:
     """All files, in order; ``most`` keeps the first rows or, with a seed, a sample without
-    replacement. An unknown ending raises. Columns ``source_path`` and ``row_id`` (place in
-    the reading order, with gaps)."""
+    replacement, the same however the files are split. An unknown ending raises. Columns
+    ``source_path`` and ``row_id`` (place in the reading order, with gaps)."""
     out = None
     for n, p in enumerate(paths):
         ending = posixpath.basename(p.rstrip("/")).rpartition(".")[2]
         if ending not in READERS:
             raise ValueError(f"unsupported file format: {p}")
         one = READERS[ending](spark, p, schema)
-        one = one.withColumn("source_path", F.lit(p)).withColumn("row_id", F.monotonically_increasing_id() + F.lit(n << 52))
+        one = one.withColumn("__file", F.col("_metadata.file_name"))
+        # only a Parquet file tells the number of a row in it; others are numbered within a split
+        place = F.col("_metadata.row_index") if ending == "parquet" else F.monotonically_increasing_id()
+        one = one.withColumn("__row", place).withColumn("source_path", F.lit(p)).withColumn("row_id", F.monotonically_increasing_id() + F.lit(n << 52)).withColumn("__n", F.lit(n))
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         raise ValueError("no files")
+    hidden = ("__file", "__row", "__n")
     if most is None:
-        return out
-    order = [F.xxhash64(F.lit(seed), "row_id"), F.col("row_id")] if seed is not None else [F.col("row_id")]
-    return out.orderBy(*order).limit(most)
+        return out.drop(*hidden)
+    place = ["__n", "__file", "__row"]
+    order = [F.xxhash64(F.lit(seed), *place), *place] if seed is not None else place
+    return out.orderBy(*order).limit(most).drop(*hidden)
 
 
 def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
