@@ -173,11 +173,9 @@ def randomise_identifiers(text: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series([randomise_text(t, str(s)) for t, s in zip(text, seed, strict=True)], dtype=object)
 
 
-def canonical_text(text: str | None) -> str | None:
-    """Identifiers replaced by counters of the same shape, in the order of their texts
-    within a class; a counter that is taken is passed over."""
-    if text is None:
-        return None
+def canonical_mapping(text: str) -> dict[str, str]:
+    """Identifiers and counters of the same shape, in the order of their texts within a
+    class; a counter that is taken is passed over."""
     spans = find_identifiers(text)
     names: dict[str, str] = {}
     for kind, _ in IDENTIFIERS:
@@ -194,7 +192,12 @@ def canonical_text(text: str | None) -> str | None:
                 if "".join(made) not in names.values():
                     break
             names[old] = "".join(made)
-    return _replaced(text, spans, names)
+    return names
+
+
+def canonical_text(text: str | None) -> str | None:
+    """Identifiers replaced by their counters."""
+    return None if text is None else _replaced(text, find_identifiers(text), canonical_mapping(text))
 
 
 @F.pandas_udf(T.StringType())

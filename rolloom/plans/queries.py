@@ -994,4 +994,5 @@ def training_step(spark, d):
     return rounded(a.groupBy("uid").agg(F.count("*").alias("samples"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.max("advantage").alias("adv_max"), F.sum("n").alias("tokens")))
 
 
-from . import text_queries as _text_queries  # noqa: E402, F401  registers its queries here
+from . import loss_queries as _loss_queries  # noqa: E402, F401  they register their queries here
+from . import text_queries as _text_queries  # noqa: E402, F401

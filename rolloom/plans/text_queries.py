@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grading
-from ..operators import chat
+from ..operators import chat, messages, protocol
 from .queries import query
 from .standins import rounded, table
 
@@ -133,3 +133,54 @@ def normal_messages(spark, d):
     greeting = F.when(F.col("turn") % 2 == 0, '{"role":"assistant","content":"hello","tool_calls":[]},').otherwise('{"role":"user","content":"hi","tool_calls":null},')
     made = F.concat(F.lit("["), greeting, F.lit('{"role":"assistant","content":null,"tool_calls":['), "call", F.lit("]}]"))
     return rows.select("conv_id", "turn", chat.normalise_messages()(made).alias("messages"))
+
+
+# -- protocol datasets ---------------------------------------------------------------
+
+_EPISODE_RULES = "CASE WHEN count(*) < 3 THEN 'few_messages' WHEN conv_id % 7 = 0 THEN 'low_reward' WHEN conv_id % 11 = 3 THEN 'first_assistant_user_echo' END"
+#: Episodes: a booking code in every message of a conversation, some assistants thinking.
+_EPISODES = f"""said AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND conv_id % 3 = 0 THEN '<think>hm</think>' ELSE '' END || coalesce(text, '') || ' AB' || lpad((conv_id % 10000)::VARCHAR, 4, '0') AS text FROM conversations),
+    episode AS (SELECT conv_id, (conv_id % 23)::VARCHAR AS task_id, count(*) AS n, {_EPISODE_RULES} AS reason, bool_or(contains(text, '<think')) AS traces, string_agg(text, '' ORDER BY turn) AS text FROM said GROUP BY conv_id),
+    task AS (SELECT task_id, row_number() OVER (ORDER BY substr(sha256('5/' || task_id), 1, 16), task_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT task_id FROM episode WHERE reason IS NULL)),
+    side AS (SELECT task_id, CASE WHEN r <= greatest(1, least(n - 1, round_even(n * 0.2, 0))) THEN 'test' ELSE 'train' END AS side FROM task)"""
+
+
+def _episodes(spark, d):
+    c = table(spark, d, "conversations")
+    code = F.concat(F.lit(" AB"), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"))
+    thought = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 3 == 0), "<think>hm</think>").otherwise("")
+    convs = messages.conversations(c.withColumn("text", F.concat(thought, F.coalesce("text", F.lit("")), code)))
+    return convs.select(
+        F.lit("conversations").alias("source_path"), F.col("conv_id").alias("source_index"), (F.col("conv_id") % 23).alias("task_id"), F.col("conv_id").alias("sample_id"), "messages",
+        F.when(F.col("conv_id") % 11 == 3, "My user id is 5").otherwise("Hello").alias("first_output"), F.when(F.col("conv_id") % 7 == 0, 0.0).otherwise(1.0).alias("reward"), protocol.thinking_enabled(F.lit(None), mode=F.when(F.col("conv_id") % 2 == 0, "on")).alias("enable_thinking"),
+    )
+
+
+def _episode_rules():
+    return [("few_messages", F.size("messages") < 3), ("low_reward", F.col("reward") < 1), ("first_assistant_user_echo", protocol.user_echo(F.lit("plain_text"), F.col("first_output")).isNotNull())]
+
+
+@query(f"""WITH {_EPISODES}, turns AS (SELECT s.conv_id, e.task_id, side, row_number() OVER (PARTITION BY s.conv_id ORDER BY turn) AS p, role FROM said s JOIN episode e USING (conv_id) JOIN side USING (task_id) WHERE reason IS NULL),
+    kept AS (SELECT task_id, side, conv_id FROM turns WHERE role = 'assistant' AND p > 1),
+    rows AS (SELECT task_id, side, conv_id, v FROM kept, (SELECT unnest(['original', 'randomize_0', 'randomize_1']) AS v)),
+    capped AS (SELECT task_id, side, least(count(*), 12) AS c FROM rows GROUP BY ALL),
+    mode AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'source_thinking_metadata' ELSE 'non_thinking' END AS m, conv_id FROM rows)
+    SELECT 'accepted_rows' AS name, NULL AS key, count(*) AS rows FROM rows UNION ALL SELECT side || '_rows', NULL, sum(c)::BIGINT FROM capped GROUP BY side UNION ALL SELECT 'rejected_rows', NULL, count(*) FROM episode WHERE reason IS NOT NULL
+    UNION ALL SELECT 'accepted_per_task', task_id, count(*) FROM rows GROUP BY task_id UNION ALL SELECT side || '_per_task', task_id, c FROM capped UNION ALL SELECT 'rejected_reasons', reason, count(*) FROM episode WHERE reason IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'thinking_modes', m, count(*) FROM mode GROUP BY m UNION ALL SELECT 'with_source_thinking', NULL, count(*) FILTER (conv_id % 2 = 0) FROM rows UNION ALL SELECT 'with_traces', NULL, count(*) FILTER (conv_id % 3 = 0) FROM rows""")
+def protocol_manifest(spark, d):
+    made = protocol.build(_episodes(spark, d), _episode_rules(), form="turn", transform="randomize", seed=5, count=2, include_original=True, fraction=0.2, most_per_task=12)
+    return made.manifest
+
+
+#: With the codes masked a variant has its original's text; renamed by one mapping, it has one code.
+@query(f"""WITH {_EPISODES}, v AS (SELECT unnest(['original', 'randomize_0', 'randomize_1']) AS id_variant)
+    SELECT conv_id AS sample_id, task_id, id_variant, side = 'test' AS is_test, n AS messages, md5(regexp_replace(text, '[A-Z]{{2}}[0-9]{{4}}', '#', 'g')) AS masked, id_variant = 'original' AS has_code, 1::BIGINT AS codes
+    FROM episode JOIN side USING (task_id), v WHERE reason IS NULL""")
+def protocol_variants(spark, d):
+    made = protocol.build(_episodes(spark, d), _episode_rules(), transform="randomize", seed=5, count=2, include_original=True, fraction=0.2)
+    rows = made.train.withColumn("is_test", F.lit(False)).unionByName(made.test.withColumn("is_test", F.lit(True)))
+    text = F.array_join(F.col("messages.content"), "")
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Z]{2}[0-9]{4}"), F.lit(0)))
+    own = F.concat(F.lit("AB"), F.lpad((F.col("sample_id") % 10000).cast("string"), 4, "0"))
+    return rows.select("sample_id", "task_id", "id_variant", "is_test", F.size("messages").cast("long").alias("messages"), F.md5(F.regexp_replace(text, "[A-Z]{2}[0-9]{4}", "#")).alias("masked"), F.array_contains(codes, own).alias("has_code"), F.size(codes).cast("long").alias("codes"))
