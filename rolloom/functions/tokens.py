@@ -31,6 +31,17 @@ def masked_mean(values: Column, mask: Column) -> Column:
     return masked_sum(values, mask) / (mask_size(mask) + 1e-8)
 
 
+def masked_var(values: Column, mask: Column, unbiased: bool = True) -> Column:
+    """Variance over the mask, from the masked mean; unbiased, an empty mask or one of a
+    single element raises."""
+    mean = masked_mean(values, mask)
+    var = masked_mean(F.transform(values, lambda x: F.pow(x - mean, 2)), mask)
+    if not unbiased:
+        return var
+    n = mask_size(mask)
+    return F.when(n < 2, F.raise_error(F.lit("a variance needs two elements within the mask"))).otherwise(var * n / (n - 1))
+
+
 def response_mask(tokens: Column, eos: list[int]) -> Column:
     """1 up to the first token of ``eos`` and on it, 0 after."""
     ends = F.filter(F.transform(tokens, lambda x, i: F.when(x.isin(eos), i)), lambda i: i.isNotNull())

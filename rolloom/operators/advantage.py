@@ -74,14 +74,19 @@ def best_of_k(df: DataFrame, score: str = "score", uid: str = "uid", order: str
     return out.withColumn("advantage", value).drop("__rank", "__second", "__n", "__std")
 
 
+def _moments(mean: DataFrame, deviations: DataFrame) -> DataFrame:
+    """One row ``__mean, __var``: squares are taken from the mean in a second pass, as the
+    difference of sums cancels where means are large."""
+    var = F.col("square") / (F.col("c") + 1e-8) * F.col("c") / (F.col("c") - 1)
+    return mean.crossJoin(deviations).select("__mean", var.alias("__var"))  # a row each
+
+
 def whiten_samples(df: DataFrame, value: str = "advantage", n: str = "n") -> DataFrame:
     """Whiten a value that all ``n`` tokens of a sample share, over all tokens."""
     v, k = F.col(value), F.col(n)
-    sums = df.agg(F.sum(v * k).alias("s"), F.sum(v * v * k).alias("q"), F.sum(k).alias("c"))
-    mean = F.col("s") / (F.col("c") + 1e-8)
-    var = (F.col("q") - 2 * mean * F.col("s") + mean * mean * F.col("c")) / (F.col("c") + 1e-8) * F.col("c") / (F.col("c") - 1)
-    sums = sums.select(mean.alias("__mean"), F.greatest(var, F.lit(0.0)).alias("__var"))  # one row
-    return df.join(F.broadcast(sums)).withColumn(value, (v - F.col("__mean")) / F.sqrt(F.col("__var") + 1e-8)).drop("__mean", "__var")
+    mean = df.agg((F.sum(v * k) / (F.sum(k) + 1e-8)).alias("__mean"), F.sum(k).alias("c"))
+    square = df.select(value, n).join(F.broadcast(mean.select("__mean"))).agg(F.sum(F.pow(v - F.col("__mean"), 2) * k).alias("square"))
+    return df.join(F.broadcast(_moments(mean, square))).withColumn(value, (v - F.col("__mean")) / F.sqrt(F.col("__var") + 1e-8)).drop("__mean", "__var")
 
 
 @estimator("gdpo")
@@ -137,14 +142,13 @@ def gpg(df: DataFrame, score: str = "score", uid: str = "uid", f_norm: float = 1
 
 def whiten_arrays(df: DataFrame, column: str, mask: str = "response_mask", times_mask: bool = False) -> DataFrame:
     v, m = F.col(column), F.col(mask)
-    per_row = df.agg(F.sum(tk.masked_sum(v, m)).alias("s"), F.sum(tk.masked_sum(F.transform(v, lambda x: x * x), m)).alias("q"), F.sum(tk.mask_size(m)).alias("c"))
-    mean = F.col("s") / (F.col("c") + 1e-8)
-    var = (F.col("q") - 2 * mean * F.col("s") + mean * mean * F.col("c")) / (F.col("c") + 1e-8) * F.col("c") / (F.col("c") - 1)
-    one = per_row.select(mean.alias("__mean"), F.greatest(var, F.lit(0.0)).alias("__var"))
+    mean = df.agg((F.sum(tk.masked_sum(v, m)) / (F.sum(tk.mask_size(m)) + 1e-8)).alias("__mean"), F.sum(tk.mask_size(m)).alias("c"))
+    away = F.transform(v, lambda x: F.pow(x - F.col("__mean"), 2))
+    square = df.select(column, mask).join(F.broadcast(mean.select("__mean"))).agg(F.sum(tk.masked_sum(away, m)).alias("square"))
     white = F.transform(column, lambda x: (x - F.col("__mean")) / F.sqrt(F.col("__var") + 1e-8))
     if times_mask:
         white = F.zip_with(white, mask, lambda x, k: x * k)
-    return df.join(F.broadcast(one)).withColumn(column, white).drop("__mean", "__var")
+    return df.join(F.broadcast(_moments(mean, square))).withColumn(column, white).drop("__mean", "__var")
 
 
 @estimator("gae")
@@ -273,26 +277,43 @@ def resampling_weights(df: DataFrame, score: str = "score", method: str = "pow",
     return out.withColumn("weight", w + 1e-8).drop("__hi", "__lo")
 
 
-def resample(df: DataFrame, seed: int = 0, row: str = "row_id", cells: int = 64, **options) -> DataFrame:
+def _uniform(*parts: Column) -> Column:
+    """A number in [0, 1) by hash."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+#: Rows of a cell of the running sum, and draws that share a slot.
+CELL_ROWS, SLOT_DRAWS = 50_000, 16
+
+
+def resample(df: DataFrame, seed: int = 0, row: str = "row_id", **options) -> DataFrame:
     """As many rows as given, drawn by weight with replacement; ``draw`` numbers them.
 
-    Uniform draws are hashes. Rows and draws are cut by cumulative weight into cells,
-    and within a cell each draw takes the last row that starts at or before it, so no
-    join has a range condition alone."""
+    Uniform draws are hashes. Rows lie side by side on a line, each as long as its weight, by
+    running sums in two levels: cells of hashed rows, and rows within a cell. The line is cut
+    into slots of equal length; a row is listed in every slot it reaches into, and a draw
+    looks among the rows of its own slot. So neither a heavy row, listed once a slot, nor the
+    draws that fall on it meet in one task."""
     weighted = resampling_weights(df, **options)
     total = weighted.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
-    if not total["n"]:
+    n, line = total["n"], total["w"]
+    if not n:
         return weighted.withColumn("draw", F.lit(0).cast("long"))
-    bucket = F.pmod(F.xxhash64(row), F.lit(cells))
-    along = Window.partitionBy("__b").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-    sized = weighted.withColumn("__b", bucket).withColumn("__at", F.coalesce(F.sum("weight").over(along), F.lit(0.0)))
-    whole = sized.groupBy("__b").agg(F.sum("weight").alias("__bw"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = whole.withColumn("__start", F.coalesce(F.sum("__bw").over(before), F.lit(0.0)))  # ``cells`` rows
-    draws = df.sparkSession.range(total["n"]).select(F.col("id").alias("draw"), ((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)) * total["w"]).alias("__u"))
-    placed = draws.join(F.broadcast(whole), (F.col("__u") >= F.col("__start")) & (F.col("__u") < F.col("__start") + F.col("__bw"))).select("draw", "__b", (F.col("__u") - F.col("__start")).alias("__at"))
-    rows = sized.select("__b", "__at", F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("draw"), F.col(row).alias("__row"))
-    events = rows.unionByName(placed.select("__b", "__at", F.lit(1).alias("__kind"), "draw", F.lit(None).cast(dict(df.dtypes)[row]).alias("__row")))
-    last = F.last("__row", ignorenulls=True).over(Window.partitionBy("__b").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0))
-    taken = events.withColumn("__take", last).where("__kind = 1").select("draw", F.col("__take").alias(row))
-    return weighted.join(taken, row)
+    cells, slots = max(64, -(-n // CELL_ROWS)), max(1, n // SLOT_DRAWS)
+    cell = F.least(F.floor(_uniform(F.lit("cell"), F.col(row)) * cells), F.lit(cells - 1))
+    along = Window.partitionBy("__c").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    sized = weighted.select(F.col(row).alias("__row"), "weight", cell.alias("__c")).withColumn("__at", F.coalesce(F.sum("weight").over(along), F.lit(0.0)))
+    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.groupBy("__c").agg(F.sum("weight").alias("__cw")).withColumn("__start", F.coalesce(F.sum("__cw").over(before), F.lit(0.0)))  # a row a cell
+    placed = sized.join(starts.select("__c", "__start"), "__c").select("__row", (F.col("__start") + F.col("__at")).alias("__from"), (F.col("__start") + F.col("__at") + F.col("weight")).alias("__to"))
+    slot = lambda x: F.least(F.floor(x / F.lit(line) * slots), F.lit(slots - 1)).cast("long")
+    block = 1 << 16  # slots are listed block by block, as a row may reach into very many
+    reached = placed.withColumns({"__s0": slot(F.col("__from")), "__s1": slot(F.col("__to"))})
+    reached = reached.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s0") / block), F.floor(F.col("__s1") / block))))
+    reached = reached.withColumn("__slot", F.explode(F.sequence(F.greatest("__s0", F.col("__b") * block), F.least("__s1", (F.col("__b") + 1) * block - 1))))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (_uniform(F.lit(seed), F.col("id")) * line).alias("__u")).withColumn("__slot", slot(F.col("__u")))
+    taken = draws.join(reached.select("__slot", "__row", "__from", "__to"), "__slot").where((F.col("__from") <= F.col("__u")) & (F.col("__u") < F.col("__to")))
+    # where sums in another order leave a gap between two rows, the row before it is taken
+    missed = draws.join(taken.select("draw"), "draw", "left_anti").join(F.broadcast(placed.agg(F.max_by("__row", "__from").alias("__row"))))
+    chosen = taken.select("draw", "__row").dropDuplicates(["draw"]).unionByName(missed.select("draw", "__row"))
+    return weighted.join(chosen.withColumnRenamed("__row", row), row)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,21 +85,24 @@ def round_robin(rows: DataFrame, most: int, seed: int, task: str = "task_id", st
 def validation_trajectories(rows: DataFrame, train_rows: int, val_rows: int, seed: int, task: str = "task_id", trajectory: str = "trajectory") -> DataFrame:
     """Add ``split``: whole trajectories go to validation in hash order, those that would
     leave too few for training skipped, until there are ``val_rows``; of the rest the
-    first ``train_rows`` by hash stay. The choice depends on what was chosen before, so it
-    is a fold over one task's trajectories (a few numbers each)."""
+    first ``train_rows`` by hash stay. The choice depends on what was chosen before, so one
+    task's trajectories (a hash and a number each) are walked once, in order."""
     sizes = rows.groupBy(task, trajectory).agg(F.count(F.lit(1)).alias("n")).withColumn("h", digest(seed, "trajectory_split", trajectory))
-    per_task = sizes.groupBy(task).agg(F.array_sort(F.collect_list(F.struct("h", trajectory, "n"))).alias("t"), F.sum("n").alias("total"))
-    kind = dict(rows.dtypes)[trajectory]
-    start = F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast(f"array<{kind}>").alias("ids"))
-
-    def step(acc, x):
-        fits = (F.col("total") - (acc["taken"] + x["n"]) >= train_rows) & (acc["taken"] < val_rows)
-        return F.when(fits, F.struct((acc["taken"] + x["n"]).alias("taken"), F.array_append(acc["ids"], x[trajectory]).alias("ids"))).otherwise(acc)
-
-    chosen = F.aggregate("t", start, step)["ids"]
-    none = F.lit(val_rows <= 0) | (F.col("total") <= train_rows)
-    held = per_task.select(task, F.when(none, F.array().cast(f"array<{kind}>")).otherwise(chosen).alias("__held"))
-    out = rows.join(held, task).withColumn("split", F.when(F.array_contains("__held", F.col(trajectory)), "test").otherwise("train")).drop("__held")
+    kinds = dict(rows.dtypes)
+
+    def choose(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("h", "ascending"), (trajectory, "ascending")])
+        total, taken, chosen = sum(group["n"].to_pylist()), 0, []
+        for n in group["n"].to_pylist():
+            fits = total > train_rows and taken < val_rows and total - (taken + n) >= train_rows
+            taken += n if fits else 0
+            chosen.append(fits)
+        return pa.table({task: group[task], trajectory: group[trajectory], "__held": pa.array(chosen)})
+
+    held = sizes.groupBy(task).applyInArrow(choose, f"{task} {kinds[task]}, {trajectory} {kinds[trajectory]}, __held boolean").where("__held")
+    same = rows[task].eqNullSafe(F.col("__t")) & rows[trajectory].eqNullSafe(F.col("__j"))
+    out = rows.join(held.select(F.col(task).alias("__t"), F.col(trajectory).alias("__j"), "__held"), same, "left")
+    out = out.withColumn("split", F.when(F.col("__held"), "test").otherwise("train")).drop("__held", "__t", "__j")
     w = Window.partitionBy(task, "split").orderBy(digest(seed, "split", task, trajectory, "row_id"), "row_id")
     return out.withColumn("__k", F.row_number().over(w)).where((F.col("split") == "test") | (F.col("__k") <= train_rows)).drop("__k")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -108,7 +109,7 @@ def timing_metrics(samples: DataFrame, timing: DataFrame, devices: int = 1) -> D
 def reduce_timing(timing: DataFrame, k: float = 10.0) -> DataFrame:
     """``name, mean, lo, hi, share_high`` over ranks (share above the (1 - k/100) quantile)."""
     cut = timing.groupBy("name").agg(F.percentile("seconds", F.lit(1 - k / 100)).alias("cut"))
-    return timing.join(F.broadcast(cut) if k is None else cut, "name").groupBy("name").agg(F.avg("seconds").alias("mean"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"), F.avg((F.col("seconds") > F.col("cut")).cast("double")).alias("share_high"))
+    return timing.join(cut, "name").groupBy("name").agg(F.avg("seconds").alias("mean"), F.min("seconds").alias("lo"), F.max("seconds").alias("hi"), F.avg((F.col("seconds") > F.col("cut")).cast("double")).alias("share_high"))
 
 
 def variance_proxies(tokens: DataFrame, gradient_norm: float | None = None) -> DataFrame:
@@ -145,12 +146,15 @@ def sizes_for(n: int) -> list[int]:
     return [*out, n] if n > 1 else []
 
 
-def validation_metrics(samples: DataFrame, source: str = "data_source", uid: str = "uid", pos: str = "pos", value: str = "score", vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
+def validation_metrics(samples: DataFrame, source: str = "data_source", uid: str = "uid", pos: str = "pos", value: str = "score", vote: str | None = None, draws: int = 1000, seed: int = 42, hashed: bool = False) -> DataFrame:
     """``data_source, metric, value``: mean@n and std@n of each prompt's answers, and mean
     and deviation of the best, the worst and the majority's value of k of them, from
     ``draws`` seeded bootstrap draws; then the mean over prompts.
 
-    Draws depend on (n, k, seed) alone, so each task makes the index tables it needs once."""
+    Draws depend on (n, k, seed) alone, so each task makes the index tables it needs once;
+    ``hashed`` takes them from hashes of (seed, n, k, draw, place), on which other engines
+    agree, in place of the random generator. Majorities are found from the counts of votes;
+    of equally frequent votes, that drawn first."""
     item = F.struct(pos, F.col(value).cast("double").alias("v"), (F.col(vote) if vote else F.lit(None)).cast("string").alias("p"))
     groups = samples.groupBy(source, uid).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
@@ -162,13 +166,18 @@ def validation_metrics(samples: DataFrame, source: str = "data_source", uid: str
 
         def table(n: int, k: int) -> np.ndarray:
             if (n, k) not in tables:
-                tables[n, k] = np.random.RandomState(seed).choice(n, size=(draws, k), replace=True)
+                if hashed:
+                    drawn = [int(hashlib.md5(f"{seed}/{n}/{k}/{d}/{j}".encode()).hexdigest()[:8], 16) % n for d in range(draws) for j in range(k)]
+                    tables[n, k] = np.array(drawn).reshape(draws, k)
+                else:
+                    tables[n, k] = np.random.RandomState(seed).choice(n, size=(draws, k), replace=True)
             return tables[n, k]
 
         def most(votes: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-            picked = votes[rows]
-            counts = (picked[:, :, None] == picked[:, None, :]).sum(axis=2)
-            return values[rows[np.arange(len(rows)), counts.argmax(axis=1)]]
+            picked, kinds = votes[rows], int(votes.max()) + 1
+            line = np.arange(draws)[:, None]
+            counts = np.bincount((line * kinds + picked).ravel(), minlength=draws * kinds).reshape(draws, kinds)
+            return values[rows[np.arange(draws), counts[line, picked].argmax(axis=1)]]
 
         out = []
         for items in column:

@@ -342,7 +342,13 @@ def resampling_weights(spark, d):
     return rounded(advantage.resampling_weights(samples(spark, d)).select("row_id", "weight"))
 
 
-@query()
+_U = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH {SAMPLES_SQL}, s AS (SELECT row_id, any_value(score) AS score FROM smp GROUP BY row_id), w AS (SELECT row_id, pow(abs(score), 2) + 1e-8 AS weight, floor({_U.format("'cell/' || row_id")} * greatest(64, ceil((SELECT count(*) FROM s) / 50000))) AS c FROM s),
+    line AS (SELECT row_id, sum(weight) OVER (ORDER BY c, row_id) - weight AS begins FROM w),
+    draws AS (SELECT draw, {_U.format("'3/' || draw")} * (SELECT sum(weight) FROM w) AS u FROM (SELECT unnest(range((SELECT count(*) FROM s))) AS draw))
+    SELECT draw, row_id FROM draws ASOF JOIN line ON u >= begins""")
 def resample(spark, d):
     s = samples(spark, d).dropDuplicates(["row_id"]).select("row_id", "score")
     return advantage.resample(s, seed=3).select("draw", "row_id")
@@ -600,10 +606,29 @@ def metrics_majority(spark, d):
     return metrics.majority(v, ["uid"])
 
 
+def _validation(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("data_source"), F.col("o_custkey").alias("uid"), F.col("o_orderstatus").alias("pred"), (F.col("o_totalprice") / 1000).alias("score"), F.col("o_orderkey").alias("pos"))
+
+
 @query()
 def metrics_validation(spark, d):
-    v = table(spark, d, "orders").select(F.col("o_orderpriority").alias("data_source"), F.col("o_custkey").alias("uid"), F.col("o_orderstatus").alias("pred"), (F.col("o_totalprice") / 1000).alias("score"), F.col("o_orderkey").alias("pos"))
-    return rounded(metrics.core_or_aux(metrics.validation_metrics(v, vote="pred", draws=200)))
+    return rounded(metrics.core_or_aux(metrics.validation_metrics(_validation(spark, d), vote="pred", draws=200)))
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS data_source, o_custkey AS uid, o_orderstatus AS p, o_totalprice / 1000 AS v, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) - 1 AS i,
+              count(*) OVER (PARTITION BY o_orderpriority, o_custkey) AS n FROM orders),
+    sizes AS (SELECT DISTINCT n, least(n, (2 ** e)::BIGINT) AS k FROM v, (SELECT unnest(range(1, 20)) AS e) WHERE n > 1),
+    place AS (SELECT n, k, d, j, ('0x' || substr(md5('42/' || n || '/' || k || '/' || d || '/' || j), 1, 8))::BIGINT % n AS i FROM (SELECT n, k, d, unnest(range(k)) AS j FROM (SELECT n, k, unnest(range(200)) AS d FROM sizes))),
+    drawn AS (SELECT data_source, uid, place.n, k, d, j, p, v FROM v JOIN place ON v.n = place.n AND v.i = place.i),
+    votes AS (SELECT data_source, uid, k, d, p, count(*) AS c, min(j) AS first, arg_min(v, j) AS v, max(v) AS hi, min(v) AS lo FROM drawn GROUP BY ALL),
+    each AS (SELECT data_source, uid, k, d, max(hi) AS best, min(lo) AS worst, arg_max(v, c * 1000 - first) AS maj FROM votes GROUP BY ALL),
+    long AS (SELECT data_source, uid, s || '@' || k AS m, x FROM (UNPIVOT each ON best, worst, maj INTO NAME s VALUE x)),
+    told AS (SELECT data_source, uid, m || '/mean' AS metric, avg(x) AS value FROM long GROUP BY ALL UNION ALL SELECT data_source, uid, m || '/std', stddev_pop(x) FROM long GROUP BY ALL
+             UNION ALL SELECT data_source, uid, 'mean@' || n, avg(v) FROM v GROUP BY data_source, uid, n UNION ALL SELECT data_source, uid, 'std@' || n, stddev_pop(v) FROM v WHERE n > 1 GROUP BY data_source, uid, n),
+    rolled AS (SELECT data_source, metric, avg(value) AS value, regexp_extract(metric, '@([0-9]+)', 1)::INTEGER AS n FROM told GROUP BY ALL)
+    SELECT data_source, metric, round(value, 4) + 0.0 AS value, CASE WHEN n = max(n) OVER (PARTITION BY data_source) AND split_part(metric, '@', 1) IN ('mean', 'maj', 'best') AND NOT ends_with(metric, '/std') THEN 'core' ELSE 'aux' END AS section FROM rolled""")
+def metrics_validation_hashed(spark, d):
+    return rounded(metrics.core_or_aux(metrics.validation_metrics(_validation(spark, d), vote="pred", draws=200, hashed=True)))
 
 
 @query("""SELECT event_type, count(value) AS count, round(avg(value), 4) AS mean, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 4) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 4) AS p90,
@@ -744,7 +769,17 @@ def round_robin(spark, d):
     return curation.round_robin(_tasks(spark, d), 12, 3).select("row_id", "task_id", "stratum", "pick")
 
 
-@query()
+_PICKED = f"""{_DOCS}, turned AS (SELECT *, row_number() OVER (PARTITION BY task_id, stratum ORDER BY sha256('3|stratum|' || coalesce(stratum, '') || '|' || row_id), row_id) AS turn FROM docs),
+    picked AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY turn, stratum) AS pick FROM turned QUALIFY pick <= 12)"""
+
+
+#: One trajectory of each task after the other is held out if enough is left to train on.
+@query(f"""WITH RECURSIVE {_PICKED}, counted AS (SELECT task_id, trajectory, count(*) AS n FROM picked GROUP BY task_id, trajectory),
+    sizes AS (SELECT *, sum(n) OVER (PARTITION BY task_id) AS total, row_number() OVER (PARTITION BY task_id ORDER BY sha256('3|trajectory_split|' || trajectory), trajectory) AS k FROM counted),
+    walk(task_id, trajectory, k, held, taken) AS (SELECT task_id, NULL::BIGINT, 0::BIGINT, false, 0::HUGEINT FROM (SELECT DISTINCT task_id FROM sizes)
+      UNION ALL SELECT s.task_id, s.trajectory, s.k, total > 8 AND taken < 4 AND total - (taken + n) >= 8, taken + CASE WHEN total > 8 AND taken < 4 AND total - (taken + n) >= 8 THEN n ELSE 0 END FROM walk JOIN sizes s ON s.task_id IS NOT DISTINCT FROM walk.task_id AND s.k = walk.k + 1),
+    marked AS (SELECT p.row_id, p.task_id, p.trajectory, CASE WHEN held THEN 'test' ELSE 'train' END AS split FROM picked p JOIN walk w ON p.task_id IS NOT DISTINCT FROM w.task_id AND p.trajectory = w.trajectory)
+    SELECT * FROM marked QUALIFY split = 'test' OR row_number() OVER (PARTITION BY task_id, split ORDER BY sha256('3|split|' || coalesce(task_id, '') || '|' || trajectory || '|' || row_id), row_id) <= 8""")
 def validation_split(spark, d):
     picked = curation.round_robin(_tasks(spark, d), 12, 3)
     return curation.validation_trajectories(picked, 8, 4, 3).select("row_id", "task_id", "trajectory", "split")

@@ -123,3 +123,33 @@ def test_resampling_follows_weights(spark):
     df = spark.createDataFrame([(i, float(i % 2)) for i in range(400)], "row_id long, score double")
     got = advantage.resample(df, seed=1).select("row_id", "draw").collect()
     assert len(got) == 400 and len({r.draw for r in got}) == 400 and all(r.row_id % 2 for r in got)
+
+
+def test_whitening_of_large_means(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=300) + 1e9
+    n = rng.integers(1, 5, 300)
+    df = spark.createDataFrame([(i, float(x), int(k), [float(x)] * int(k), [1] * int(k)) for i, (x, k) in enumerate(zip(v, n, strict=True))], "i int, advantage double, n int, a array<double>, response_mask array<int>")
+    c = n.sum()
+    mean = (v * n).sum() / (c + 1e-8)
+    want = (v - mean) / np.sqrt(((v - mean) ** 2 * n).sum() / (c + 1e-8) * c / (c - 1))
+    got = np.array([r[0] for r in advantage.whiten_samples(df).orderBy("i").select("advantage").collect()])
+    assert np.allclose(got, want, atol=1e-3)
+    arrays = np.array([r[0] for r in advantage.whiten_arrays(df, "a").orderBy("i").select(F.get("a", F.lit(0))).collect()])
+    assert np.allclose(arrays, want, atol=1e-3)
+
+
+def test_variance_of_a_row(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 4.0, float("nan")], [1, 1, 1, 0]), ([5.0], [0])], "v array<double>, m array<int>")
+    some = df.where("size(v) = 4")
+    assert some.select(tk.masked_var(F.col("v"), F.col("m")).alias("x")).first().x == pytest.approx(np.var([1, 2, 4], ddof=1))
+    assert some.select(tk.masked_var(F.col("v"), F.col("m"), unbiased=False).alias("x")).first().x == pytest.approx(np.var([1, 2, 4]))
+    with pytest.raises(Exception, match="variance needs two"):
+        df.select(tk.masked_var(F.col("v"), F.col("m")).alias("x")).collect()
+
+
+def test_resampling_of_a_heavy_row(spark):
+    df = spark.createDataFrame([(i, 100.0 if i == 7 else 1.0) for i in range(1000)], "row_id long, score double")
+    got = [r.row_id for r in advantage.resample(df, seed=4).select("row_id").collect()]
+    assert len(got) == 1000 and 880 < got.count(7) < 940
+    assert advantage.resample(df.where("false")).count() == 0
