@@ -1031,3 +1031,4 @@ def training_step(spark, d):
 
 from . import loss_queries as _loss_queries  # noqa: E402, F401  they register their queries here
 from . import text_queries as _text_queries  # noqa: E402, F401
+from . import training_queries as _training_queries  # noqa: E402, F401

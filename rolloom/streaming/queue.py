@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = "queue string, event string, sample_id string, staleness int, waiting int, produced long, consumed long, dropped long"
@@ -129,6 +129,28 @@ def staleness(samples: DataFrame, version: int, by: Sequence[str] = ()) -> DataF
     return samples.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.count_if(age >= 1).alias("stale"), F.max(age).alias("oldest"))
 
 
+def since_reset(events: DataFrame, by: Sequence[str] = ("queue",), order: str = "seq", kind: str = "kind") -> DataFrame:
+    """Events with ``stale_samples``, what counts against the staleness budget after each: the
+    samples put since the last new version, and those that waited (put and not yet taken) when
+    it came. Kinds are put, get, version; also ``waiting`` after each event, and, for a new
+    version, ``idle_ratio``: the share of the time since the last one (``ts``, seconds) that
+    came after the last sample was put."""
+    along = Window.partitionBy(*by).orderBy(order)
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    is_put, is_new = F.col(kind) == "put", F.col(kind) == "version"
+    out = events.withColumn("waiting", F.sum(F.when(is_put, 1).when(F.col(kind) == "get", -1).otherwise(0)).over(so_far)).withColumn("__puts", F.sum(is_put.cast("int")).over(so_far))
+    base = F.last(F.when(is_new, F.col("waiting") - F.col("__puts")), ignorenulls=True).over(so_far)
+    out = out.withColumn("stale_samples", F.col("__puts") + F.coalesce(base, F.lit(0)))
+    if "ts" in events.columns:
+        earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+        began = F.last(F.when(is_new, F.col("ts")), ignorenulls=True).over(earlier)
+        last_put = F.last(F.when(is_put, F.col("ts")), ignorenulls=True).over(earlier)
+        whole = F.greatest(F.col("ts") - began, F.lit(1e-6))
+        ratio = F.when(last_put > began, 1 - (last_put - began) / whole).otherwise(0.0)
+        out = out.withColumn("idle_ratio", F.when(is_new & began.isNotNull(), ratio))
+    return out.drop("__puts")
+
+
 def assemble(samples: DataFrame) -> DataFrame:
     """One row on a batch from the stream: percentiles of processing time, the share and
     the span of samples made across versions, and how many versions there are."""
