@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_codes, drop_ids, hash_words, map_texts, materialize, mix64, pieces
+from .common import byte_codes, drop_ids, hash_words, map_texts, materialize, mix64, pieces, release
 from .graph import components
 
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -428,11 +428,11 @@ def _spread(rows: DataFrame, packed: str) -> DataFrame:
     return rows.select("cls", "hub", F.col("n").cast("long").alias("n"), packed).mapInArrow(run, "cls long, hub long, n long, size long, shingle long")
 
 
-def _ranked(own: DataFrame, within: list[str]) -> DataFrame:
+def _ranked(own: DataFrame, within: list[str], *of: str) -> DataFrame:
     """With ``df``, how many rows have the shingle (for each of ``within``), and the ``rank``
-    of each of a class's shingles, rare ones first."""
+    of each of a class's shingles (for each value of ``of``), rare ones first."""
     often = own.groupBy(*within, "shingle").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))
+    rank = F.row_number().over(Window.partitionBy("cls", *of).orderBy("df", "shingle"))
     return own.join(often, [*within, "shingle"]).withColumn("rank", rank)
 
 
@@ -445,26 +445,100 @@ def _rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
-def _hub_pairs(diffs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of one hub and of different components whose differences from the
-    hub may have as much in common as a link asks: prefixes of the differences meet.
+#: A group of rows that share a shingle is paired as it stands while that makes at most so
+#: many pairs a row; so often are members of larger ones given a nearer hub.
+GROUP_PAIRS, LEVELS = 32, 4
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after more links between their nodes, or nodes without a label."""
+    if links.isEmpty():
+        return labels
+    ends = _rooted(_rooted(links.select(F.col("a").alias("cls"), "b"), labels).select(F.col("root").alias("ra"), F.col("b").alias("cls")), labels)
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("root").alias("b")))
+    to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti")
+    return materialize(moved.unionByName(fresh), "jaccard-labels")
+
+
+def _hub_prefixes(diffs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """A row for each shingle of the differences from a hub that may be the first of those
+    a linked pair of different components has in common, and for each band of sizes that
+    the other difference of such a pair may lie in: ``hub, shingle, band, other``, ``cls, n,
+    size, rank, root``; ``inner``: the class has the hub's root.
 
     With difference sizes da, db and set sizes na, nb, classes link if and only if
-    da + db - 2 common <= limit = (na + nb) (100 - percent) / (100 + percent). A class may
-    leave out of its prefix what it shares with every partner of the least size."""
+    da + db - 2 common <= (na + nb) k, k = (100 - percent) / (100 + percent): a shingle at some
+    rank can be the first in common only if db is not too large. If the other class does not
+    link to the hub (hn), db > (nb + hn) k, so more than half of da + (hn - na) k is in common.
+    Of two classes of different components one at least does not link to it."""
     less, more = 100 - percent, 100 + percent
-    rows = _rooted(diffs, labels)
+    rows = _rooted(diffs, labels).join(labels.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("inner", F.col("root") == F.coalesce("hub_root", "hub")).drop("hub_root")
     mixed = rows.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
     rows = rows.join(mixed, "hub", "left_semi")
-    reach = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * less / more) + 1
-    own = _ranked(_spread(rows, "apart"), ["hub"])
-    prefix = own.where((F.col("rank") <= F.least("size", reach)) & (F.col("df") > 1)).withColumn("kin", F.col("hub"))
-    prefix = materialize(_rooted(prefix.drop("df"), labels), "jaccard-prefixes")
+    own = _ranked(_spread(rows, "apart"), ["hub"], "hub").where("df > 1")
+    prefix = own.join(rows.select("cls", "hub", "root", "inner", "hn"), ["cls", "hub"])
+    limit = F.floor((F.col("n") + F.floor(F.col("n") * 100 / percent)) * less / more)  # at most, whatever the other size
+    common = F.floor((F.col("size") * more + (F.col("hn") - F.col("n")) * less) / (2 * more))
+    prefix = prefix.withColumn("short", F.col("rank") <= F.col("size") - common).where(F.col("short") | ~F.col("inner"))
+    width = F.floor(F.col("hn") * less / (3 * more)) + 1
+    lowest, highest = F.greatest(F.lit(0), F.col("size") - limit), F.col("size") + limit - 2 * (F.col("rank") - 1)
+    prefix = prefix.where(highest >= lowest).withColumn("band", F.floor(F.col("size") / width)).withColumn("other", F.explode(F.sequence(F.floor(lowest / width), F.floor(highest / width))))
+    return prefix.drop("df", "hn")
+
+
+def _walk(x: DataFrame, y: DataFrame) -> DataFrame:
+    """Pairs of rows of a hub that meet on a shingle and on each other's band."""
+    names = ("cls", "n", "size", "rank", "root")
+    left = x.select("hub", "shingle", F.col("band").alias("p"), F.col("other").alias("q"), *[F.col(c).alias(f"{c}_a") for c in names])
+    right = y.select("hub", "shingle", F.col("other").alias("p"), F.col("band").alias("q"), *[F.col(c).alias(f"{c}_b") for c in names])
+    return left.join(right, ["hub", "shingle", "p", "q"])
+
+
+def _hub_links(diffs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``labels`` after all links between classes of one hub (``diffs``).
+
+    Prefixes of the differences meet on (hub, shingle, bands of their sizes). Where many rows
+    meet even so, their classes are alike in what sets them apart from the hub: they get one
+    of them as a hub of their own, from which what they share is no difference, and meet
+    again there. So pairs grow with the rows. After LEVELS of this what is left is paired as
+    it stands."""
+    less, more = 100 - percent, 100 + percent
     limit = (F.col("n_a") + F.col("n_b")) * less
     room = 2 * (1 + F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b"))) * more >= (F.col("size_a") + F.col("size_b")) * more - limit
-    near = (F.abs(F.col("size_a") - F.col("size_b")) * more <= limit) & room
-    x, y = _sides(prefix)
-    return x.join(y.withColumnRenamed("kin_b", "kin_a"), ["shingle", "kin_a"]).where((F.col("root_a") < F.col("root_b")) & near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    near = (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("size_a") - F.col("size_b")) * more <= limit) & room
+    key = ["hub", "shingle", "lo", "hi"]
+    for level in range(LEVELS + 1):
+        prefix = _hub_prefixes(diffs, labels, percent).withColumns({"lo": F.least("band", "other"), "hi": F.greatest("band", "other")})
+        prefix = materialize(prefix, "jaccard-prefixes")
+        if prefix.isEmpty():
+            break
+        inner = F.col("inner")
+        outer, low, high = F.col("short") & ~inner, F.col("band") == F.col("lo"), F.col("band") == F.col("hi")
+        many = lambda c: F.count_if(c).cast("double")
+        pairs = many(outer & low) * many(outer & high) + many(inner & low) * many(~inner & high) + many(inner & high) * many(~inner & low)
+        groups = prefix.groupBy(*key).agg(pairs.alias("pairs"), F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most and pairs > 0")
+        groups = materialize(groups.select(*key, ((F.col("pairs") > GROUP_PAIRS * F.col("rows")) & F.lit(level < LEVELS)).alias("hot")), "jaccard-groups")
+        met = prefix.join(groups, key)
+        cold = met.where("not hot")
+        walked = _walk(cold.where(outer & (F.col("band") <= F.col("other"))), cold.where(outer)).where((F.col("p") < F.col("q")) | (F.col("cls_a") < F.col("cls_b")))
+        walked = walked.unionByName(_walk(cold.where(inner), cold.where(~inner)))
+        found = walked.where(near).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+        labels = _merged(labels, materialize(_verify(found, sets, percent), "jaccard-links"))
+        # of a group, the class that has most of the shingles that many share: so few hubs do
+        hot = met.where("hot").select(*key, "cls", "size").distinct()
+        often = hot.groupBy("hub", "cls").agg(F.count("*").alias("often"))
+        lead = hot.join(often, ["hub", "cls"]).groupBy(*key).agg(F.max_by("cls", F.struct("often", -F.col("size"), -F.col("cls"))).alias("next"))
+        again = materialize(hot.join(lead, key).select("cls", F.col("next").alias("hub")).distinct(), "jaccard-nearer")
+        if again.isEmpty():
+            break
+        diffs = materialize(_from_hubs(again.select("cls").distinct(), again, sets), "jaccard-diffs")
+        to_hub = diffs.where(F.col("both") * 100 >= (F.col("n") + F.col("hn") - F.col("both")) * percent)
+        labels = _merged(labels, materialize(to_hub.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), "jaccard-links"))
+        for done in (prefix, groups, again):
+            release(done)
+    return labels
 
 
 def _prefix_pairs(weak: DataFrame, hubs: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -583,10 +657,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = materialize(checked.where(_alike(percent)).select("a", "b").union(to_hub.select(F.least("cls", "hub"), F.greatest("cls", "hub"))).distinct(), "jaccard-links")
     labels = components(links)
     rest = _apart(pairs.select("a", "b").join(checked, ["a", "b"], "left_anti"), labels)
-    for found in (rest, _hub_pairs(diffs, labels, percent).union(_prefix_pairs(weak, hubs, sets, labels, percent)).distinct()):
-        more = materialize(_verify(found, sets, percent), "jaccard-links")
-        links = links.union(more)
-    labels = components(links)
+    labels = _merged(labels, materialize(_verify(rest, sets, percent), "jaccard-links"))
+    labels = _hub_links(diffs, labels, sets, percent)
+    labels = _merged(labels, materialize(_verify(_prefix_pairs(weak, hubs, sets, labels, percent), sets, percent), "jaccard-links"))
     copies = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"))
     if count_links:
         counts = materialize(_link_counts(labels, copies, sets, percent), "jaccard-link-counts")

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from rolloom.llm import jaccard_join
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "se", "to", "vi", "za") for b in ("n", "ra", "st", "mo", "le", "pi")]
@@ -48,6 +50,53 @@ def test_pairs_of_a_family_grow_with_its_size(spark, monkeypatch):
     assert counts[1] < 2.6 * counts[0] and counts[1] < 8 * 300
 
 
+def nested(rng, size, n=200):
+    """A family, and another whose head is nine edits from the first's; few members link."""
+    first = words(rng, n)
+    second = list(first)
+    for at in rng.sample(range(n), 9):
+        second[at] = f"h{rng.random():.12f}"
+    out = []
+    for head in (first, second):
+        for _ in range(size // 2):
+            copy = list(head)
+            for at in rng.sample(range(n), rng.randint(2, 7)):
+                copy[at] = f"w{rng.random():.12f}"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_pairs_walked_grow_with_a_family(spark, monkeypatch):
+    walked, inner = [], jaccard_join._walk
+
+    def counting(x, y):
+        out = inner(x, y)
+        walked[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_walk", counting)
+    for size in (200, 400, 800):
+        texts = nested(random.Random(73), size)
+        walked.append(0)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = jaccard_join.jaccard_components(docs, most=4, count_links=False).collect()
+        if size == 200:
+            assert {r.doc_id: r.component_id for r in got} == dict(enumerate(jaccard_join.brute_force(texts)))
+    assert all(n < 200 * size for n, size in zip(walked, (200, 400, 800), strict=True)), walked  # was 850, 1900, 3900 a text
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearer_hubs_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "GROUP_PAIRS", 1)  # every group of some size gets a nearer hub
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(3):
+        texts += nested(rng, 24, n=60) + family(rng, 24, 0, 5, n=60)
+    rng.shuffle(texts)
+    got, _ = compared(spark, texts, monkeypatch)
+    assert {i: r.component_id for i, r in got.items()} == dict(enumerate(jaccard_join.brute_force(texts)))
+
+
 def test_families_within_families(spark, monkeypatch):
     rng = random.Random(67)
     texts = family(rng, 60, 0, 14)
