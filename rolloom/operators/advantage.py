@@ -9,6 +9,7 @@ position by position, on a long table ``row_id, uid, t, mask, ...``.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -233,6 +234,42 @@ def compute_advantage(df: DataFrame, name: str, **options) -> DataFrame:
     return get_estimator(name)(df, **options)
 
 
+#: Estimators of arrays along tokens, and of positions across a group, with the columns that
+#: each takes beside ``token_level_rewards`` and ``response_mask``. All others judge whole samples.
+ALONG = {"gae": ("values",), "reinforce_plus_plus": (), "remax": ("reward_baselines",)}
+ACROSS = {"optimal_token_baseline": ("uid", "old_log_probs", "sum_pi_squared"), "tir_optimal_token_baseline": ("uid", "old_log_probs", "sum_pi_squared")}
+
+
+def advantages_of(batch: DataFrame, name: str, row: str = "row_id", **options) -> DataFrame:
+    """Arrays ``advantages`` and ``returns`` of a wide batch, by any estimator.
+
+    The batch has ``token_level_rewards`` and ``response_mask`` as arrays and what the
+    estimator asks for; a missing column raises. A sample's score is the sum of its rewards,
+    what holds for a sample is spread over its mask, and its returns are its advantages. Of
+    ``options`` an estimator gets those it knows."""
+    fn = get_estimator(name)
+    known = inspect.signature(fn).parameters
+    options = {k: v for k, v in options.items() if k in known}
+    needed = ("token_level_rewards", "response_mask", *ALONG.get(name, ACROSS.get(name, ("uid",))))
+    if missing := [c for c in needed if c not in batch.columns]:
+        raise ValueError(f"{name} needs the columns {missing}")
+    if name in ALONG:
+        return fn(batch, "token_level_rewards", **options)
+    if name in ACROSS:
+        parts = {"reward": "token_level_rewards", "mask": "response_mask", "logp": "old_log_probs", "sum_pi2": "sum_pi_squared"}
+        zipped = F.arrays_zip(*[F.col(c).alias(n) for n, c in parts.items()])
+        tokens = batch.select(F.col(row).alias("row_id"), "uid", F.posexplode(zipped).alias("t", "z")).select("row_id", "uid", "t", "z.*")
+        told = fn(tokens, **options).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("t", "advantage", "returns"))).alias("__a"))
+        joined = batch.join(told.withColumnRenamed("row_id", "__row"), F.col(row) == F.col("__row"), "left").drop("__row")
+        return joined.withColumns({"advantages": F.col("__a.advantage"), "returns": F.col("__a.returns")}).drop("__a")
+    scored = batch.withColumns({"__score": tk.total(F.col("token_level_rewards")), "__n": tk.mask_size(F.col("response_mask"))})
+    given = {k: v for k, v in (("n", "__n"), ("score", "__score"), ("order", row)) if k in known}
+    if "scores" in known and "scores" not in options:
+        given["scores"] = ("__score",)
+    out = over_tokens(fn(scored, **{**given, **options})).drop("__score", "__n", "advantage")
+    return out.withColumn("returns", F.col("advantages"))
+
+
 def kl_in_reward(df: DataFrame, beta: float, kind: str = "k1", scores: str = "scores", logp: str = "old_log_probs", ref: str = "ref_log_prob", mask: str = "response_mask") -> tuple[DataFrame, DataFrame]:
     """``rewards`` = scores - beta * divergence * mask, and one row with the mean over
     samples of each one's mean divergence (``kl``), which a controller takes."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.divergence import clamp, kl
+from ..functions.tokens import log_sum_exp
 from .losses import aggregate_loss, get_loss
 
 #: name -> function of options that gives the token's divergence and what is reported of it
@@ -44,12 +45,6 @@ def _inside(value: Column) -> Column:
     return F.when(F.col("mask") != 0, value)
 
 
-def log_sum_exp(values: Column) -> Column:
-    """Of an array; null of an empty one. Shifted by the largest value."""
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-
-
 def student_log_probs(ids: Column, student_ids: Column, student_logits: Column, rest: Column | None = None, unlisted: int | None = None) -> Column:
     """Log-probabilities of ``ids`` under a student who lists some tokens' logits. ``rest``:
     the log-sum-exp of the logits of its ``unlisted`` other tokens, which share it evenly;

@@ -10,11 +10,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import ragged
-from ..operators import diagnostics, rewards, sampling
+from ..operators import advantage, diagnostics, rewards, sampling
 from ..sources.extern import custom_score
 from ..streaming import growing
 from ..streaming import queue as sample_queue
-from .queries import query
+from .queries import query, r4
 from .standins import ORDERS_SQL, TOKENS_SQL, numbered_orders, rollouts, rounded, table
 
 USER_CODE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "user_code.py")
@@ -38,6 +38,18 @@ def reward_custom(spark, d):
     return rounded(made.select("row_id", "right", "size", "acc", F.aggregate("token_level_scores", F.lit(0.0), lambda a, x: a + x).alias("reward"), place.alias("place")))
 
 
+# -- advantages ----------------------------------------------------------------------
+
+
+@query(f"""WITH {TOKENS_SQL}, s AS (SELECT row_id, uid, sum(reward) AS s FROM tok GROUP BY row_id, uid), g AS (SELECT *, count(*) OVER w AS n, avg(s) OVER w AS m, stddev_samp(s) OVER w AS d FROM s WINDOW w AS (PARTITION BY uid))
+    SELECT row_id, t, {r4("CASE WHEN n > 1 THEN (s - m) / (d + 1e-6) ELSE s / (1 + 1e-6) END * mask", "advantage")} FROM g JOIN tok USING (row_id, uid)""")
+def batch_advantages(spark, d):
+    """A wide batch through the estimator of its name, back as arrays."""
+    batch = rollouts(spark, d).select("row_id", "uid", F.col("rewards").alias("token_level_rewards"), F.col("masks").alias("response_mask"))
+    made = advantage.advantages_of(batch, "grpo", epsilon=1e-6, gamma=0.9)
+    return rounded(made.select("row_id", F.posexplode("advantages").alias("t", "advantage")).withColumn("t", F.col("t").cast("long")))
+
+
 # -- samplers ------------------------------------------------------------------------
 
 _KEY = "-ln((('0x' || substr(md5({seed} || '/' || row_id), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / ({weight})"
