@@ -145,7 +145,7 @@ def pseudonym(kind: str, value: str, seed: str, used: set[str]) -> str:
     raise ValueError("no free pseudonym")
 
 
-def _replaced(text: str, spans: list[tuple[int, int, str]], names: dict[str, str]) -> str:
+def replaced(text: str, spans: list[tuple[int, int, str]], names: dict[str, str]) -> str:
     out, at = [], 0
     for a, b, _ in spans:
         out += [text[at:a], names[text[a:b]]]
@@ -165,7 +165,7 @@ def identifier_mapping(text: str, seed: str) -> dict[str, str]:
 
 def randomise_text(text: str | None, seed: str) -> str | None:
     """Every identifier replaced, the same one by the same pseudonym within a record."""
-    return None if text is None else _replaced(text, find_identifiers(text), identifier_mapping(text, seed))
+    return None if text is None else replaced(text, find_identifiers(text), identifier_mapping(text, seed))
 
 
 @F.pandas_udf(T.StringType())
@@ -197,7 +197,7 @@ def canonical_mapping(text: str) -> dict[str, str]:
 
 def canonical_text(text: str | None) -> str | None:
     """Identifiers replaced by their counters."""
-    return None if text is None else _replaced(text, find_identifiers(text), canonical_mapping(text))
+    return None if text is None else replaced(text, find_identifiers(text), canonical_mapping(text))
 
 
 @F.pandas_udf(T.StringType())

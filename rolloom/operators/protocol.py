@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import parsing
+from ..functions.parsing import canonical_mapping, find_identifiers, identifier_mapping, replaced
 from ..sources.stable import stable
 from . import curation
 from .messages import expand_turns
@@ -78,8 +78,8 @@ def _renamed(texts: list, names: dict[str, str]) -> list:
     if not names:
         return list(texts)
     any_name = re.compile("|".join(sorted(map(re.escape, names), key=len, reverse=True)))
-    spans = lambda t: [s for s in parsing.find_identifiers(t) if t[s[0] : s[1]] in names]
-    return [t if t is None or not any_name.search(t) else parsing._replaced(t, spans(t), names) for t in texts]
+    spans = lambda t: [s for s in find_identifiers(t) if t[s[0] : s[1]] in names]
+    return [t if t is None or not any_name.search(t) else replaced(t, spans(t), names) for t in texts]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -89,7 +89,7 @@ def pseudonymised(texts: pd.Series, transform: pd.Series, seed: pd.Series) -> pd
     for some, how, own in zip(texts, transform, seed, strict=True):
         some = list(some)
         whole = "\n".join(t or "" for t in some)
-        names = {} if how == "none" else parsing.canonical_mapping(whole) if how == "canonicalize" else parsing.identifier_mapping(whole, own)
+        names = {} if how == "none" else canonical_mapping(whole) if how == "canonicalize" else identifier_mapping(whole, own)
         out.append(_renamed(some, names))
     return pd.Series(out, dtype=object)
 
