@@ -38,7 +38,7 @@ def test_queries_match_their_sql(spark):
     from rolloom.llm import entry
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in entry.ORACLES.items():
         df = entry.QUERIES[name](spark, SF)
@@ -55,5 +55,5 @@ def test_full_queries_return_a_row_for_each_document(spark):
     from rolloom.llm import entry
 
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    for name in ("op1_toxicity", "op4_jaccard_join", "op6_quality", "op8_decontamination", "op10_secret_scan"):
+    for name in ("op1_toxicity", "op4_jaccard_join", "op6_quality", "op8_decontamination", "op10_secret_scan", "op12_token_counts"):
         assert entry.QUERIES[name](spark, SF).count() == n, name
