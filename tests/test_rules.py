@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -29,6 +30,31 @@ def test_differencing_beats_greedy_on_a_known_case():
     assert sums(balance.differencing(x, 2, False), x) == [14, 16]
 
 
+def padded_differencing(x, k):
+    """The same with every bin of every candidate, empty ones too, in place."""
+    heap = [sorted([(n, 1, [(i, n)])] + [(0, 0, [])] * (k - 1), reverse=True) for i, n in enumerate(x)]
+    while len(heap) > 1:
+        heap.sort(key=lambda c: (c[0][0] - c[-1][0], c[0]))
+        one, two = heap.pop(), heap.pop()
+        heap.append(sorted(((a[0] + b[0], a[1] + b[1], a[2] + b[2]) for a, b in zip(one, reversed(two), strict=True)), reverse=True))
+    return [[i for i, _ in members] for *_, members in heap[0]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=30), st.integers(1, 9))
+def test_differencing_agrees_with_padded_candidates(x, k):
+    assert balance.differencing(x, k, False) == padded_differencing(x, k)
+
+
+def test_differencing_takes_memory_by_items_not_by_items_and_bins():
+    x = [(i * 37) % 91 + 30 for i in range(2000)]
+    tracemalloc.start()
+    bins = balance.differencing(x, 500, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(itertools.chain(*bins)) == list(range(2000)) and peak < 8_000_000
+
+
 def test_microbatches_respect_groups_and_errors():
     bins = balance.microbatches([100] * 20, 300, group=2)
     assert sorted(itertools.chain(*bins)) == list(range(20)) and all(b[i] + 1 == b[i + 1] for b in bins for i in range(0, len(b), 2))
@@ -41,6 +67,10 @@ def test_balance_and_restore(spark):
     df = spark.createDataFrame([(i, (i * 37) % 91 + 1) for i in range(20)], "row_id long, seqlen long")
     out = balance.dynamic_batches(df, 300)
     assert balance.restore(out).collect() == df.orderBy("row_id").collect()
+    named = balance.balance(df.select(F.format_string("r%02d", "row_id").alias("row_id"), "seqlen"), 4)
+    assert named.count() == 20 and named.schema["bin"].dataType.typeName() == "integer"
+    with pytest.raises(ValueError):
+        balance.dynamic_batches(df, 300, most_rows=19)
 
 
 @pytest.mark.parametrize("bad", [True, -1, "0", "2_1", "x", ""])
