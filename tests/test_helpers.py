@@ -141,3 +141,21 @@ def test_a_batch_goes_to_any_estimator(spark):
         advantage.advantages_of(b.drop("values"), "gae")
     with pytest.raises(ValueError):
         advantage.advantages_of(b, "nothing")
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_bucket_delays_in_blocks(spark, block):
+    rows = [(("a", "b", None)[i % 100 // 40], i, float(i * i % 23 + i), None if i % 31 == 5 else float(i * 37 % 150)) for i in range(300)]
+    want = {}
+    for key in ("a", "b", None):
+        have, now, out = 50.0, 0.0, want.setdefault(key, [])
+        for _, _, at, n in (r for r in rows if r[0] == key):
+            later = max(now, at)
+            have = min(50.0, have + (later - now) * 2.0)
+            wait = max(0.0, ((50.0 if n is None else min(n, 50.0)) - have) / 2.0)
+            have, now = 50.0 if n is None else have + wait * 2.0 - n, later + wait
+            out.append(now - at)
+    got = {r.key: r.delays for r in replay.bucket_delays(spark.createDataFrame(rows, "key string, seq long, at double, tokens double"), 2.0, 50.0, block=block).collect()}
+    assert got.keys() == want.keys()
+    for key, delays in want.items():
+        assert got[key] == pytest.approx(delays, abs=1e-9)
