@@ -64,13 +64,15 @@ def rejection_bands(options: Sequence[str], spec: str | float | None) -> dict[st
     return out
 
 
-def _statistic(option: str) -> Column:
-    """The statistic on each token; sequence statistics are windows over the row."""
+def _statistic(option: str, order: Sequence[str] = ()) -> Column:
+    """The statistic on each token; sequence statistics are windows over the row. Sums go
+    along ``order``, as the order of terms decides how they round and so, at a bound, what stays."""
     x = clamp(F.col("log_ratio"), -BOUND, BOUND)
     token = {"k1": -x, "k2": x * x * 0.5, "k3": F.exp(x) - 1 - x}[option[-2:]]
     if option.startswith("token"):
         return token
     row = Window.partitionBy("row_id")
+    row = row.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if order else row
     inside = F.when(F.col("mask") != 0, token)
     if option.startswith("seq_max"):
         return F.coalesce(F.max(inside).over(row), F.lit(0.0))
@@ -90,7 +92,8 @@ def _with_statistics(tokens: DataFrame, options: str | Sequence[str], threshold)
     if not chosen or (unknown := set(chosen) - set(OPTIONS)):
         raise ValueError(f"unknown rejection options: {sorted(unknown) if chosen else 'none given'}")
     bands = rejection_bands(chosen, threshold)
-    return tokens.withColumns({f"__{o}": _statistic(o) for o in chosen}), {o: _kept(o, bands[o]) for o in chosen}
+    order = ["t"] if "t" in tokens.columns else []
+    return tokens.withColumns({f"__{o}": _statistic(o, order) for o in chosen}), {o: _kept(o, bands[o]) for o in chosen}
 
 
 def rejection_mask(tokens: DataFrame, options: str | Sequence[str] = "token_k1", threshold: str | float | None = None) -> DataFrame:

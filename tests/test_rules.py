@@ -86,6 +86,14 @@ def test_bands():
         correction.rejection_bands(["token_k2"], "1_2")
 
 
+def test_rejection_does_not_depend_on_the_order_of_a_table(spark):
+    rows = [(0, t, 1, v / 80) for t, v in enumerate((2, 59, 35, 27, 31))]  # half the squares: 0.5 this way, more the other
+    kept = [
+        {r.t: r.mask for r in correction.rejection_mask(spark.createDataFrame(made, "row_id int, t int, mask int, log_ratio double").coalesce(1), "seq_sum_k2", 0.5).collect()} for made in (rows, rows[::-1])
+    ]
+    assert kept[0] == kept[1]
+
+
 def test_losses_exclude_empty_sequences(spark):
     df = spark.createDataFrame([(0, 0, 1, 2.0), (0, 1, 1, 4.0), (1, 0, 0, 9.0)], "row_id int, t int, mask int, loss double")
     assert losses.aggregate_loss(df, "loss", "seq-mean-token-sum").first()[0] == 6.0
