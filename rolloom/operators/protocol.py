@@ -147,6 +147,8 @@ def build(
     own = record_seed(F.col("__v.index") + seed, F.concat(record_key(), F.lit("::variant="), F.col("__v.name")))
     texts = pseudonymised(F.transform("messages", lambda m: m["content"]), F.col("__v.transform"), own)
     made = fanned.withColumn("__texts", texts).withColumn("messages", F.zip_with("messages", "__texts", lambda m, t: m.withField("content", t)))
+    kept = list(dict.fromkeys([*CARRIED, *carry, "enable_thinking", "messages", "__v"]))
+    made = stable(made.select(*kept), "protocol-trajectories")  # names are drawn once, a few trajectories at a time
     traces = has_traces(F.col("messages"))
     thinking = F.coalesce(F.col("enable_thinking"), F.lit(False))
     mode = F.when(F.lit(need_traces) & traces, "source_thinking_traces").when(F.lit(force_thinking), "template_override_only").when(thinking, "source_thinking_metadata").otherwise("non_thinking")
@@ -169,7 +171,8 @@ def build(
         made = keyed.drop("messages").join(expanded, "__row").drop("__row")
     else:
         made = made.withColumns({"assistant_turn_index": F.lit(None).cast("long"), "source_message_index": F.lit(None).cast("long")})
-    made = stable(made.withColumn("row_id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_path", "source_index", "sample_id", "id_variant", "assistant_turn_index")])), "protocol-rows")  # read by every part below
+    made = made.withColumn("row_id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_path", "source_index", "sample_id", "id_variant", "assistant_turn_index")]))
+    made = stable(made, "protocol-rows") if form == "turn" else made  # read by every part below
     train, test, refused, how = _split(made, refused, reject, train_tasks, test_tasks, fraction, seed, local_hold_out, allow_test_tasks)
     if most_per_task is not None:
         train, test = (curation.cap_by_hash(x, most_per_task, seed, ["task_id"]) for x in (train, test))

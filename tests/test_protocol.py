@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolloom.operators import distillation, protocol
+from rolloom.sources.stable import stable
 
 CODE = "[A-Z]{2}[0-9]{4}"
 
@@ -43,6 +44,18 @@ def test_counts_add_up(spark, episodes):
     assert key(made) == key(again)
 
 
+@pytest.mark.parametrize("form", ["trajectory", "turn"])
+def test_names_are_drawn_once_and_in_small_batches(spark, episodes, form):
+    made = protocol.build(episodes, rules(), form=form, transform="randomize", seed=1)
+    for part in (made.train, made.test, made.rejected, made.manifest):
+        assert "ArrowEvalPython" not in part._jdf.queryExecution().toString()
+    together = F.pandas_udf(lambda s: s * 0 + len(s), "long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    assert stable(spark.range(0, 3000, 1, 1).select(together("id").alias("n"))).agg(F.max("n")).first()[0] <= 256
+    assert spark.conf.get(name) == before
+
+
 def test_one_mapping_a_trajectory(episodes):
     made = protocol.build(episodes, rules(), transform="randomize", count=2, include_original=True, seed=1)
     seen = {}
