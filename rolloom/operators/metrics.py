@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .losses import mean_over_mask
 
@@ -146,6 +149,10 @@ def sizes_for(n: int) -> list[int]:
     return [*out, n] if n > 1 else []
 
 
+#: About how many drawn values a task holds at once (one prompt's at least).
+MOST_DRAWN = 1 << 20
+
+
 def validation_metrics(samples: DataFrame, source: str = "data_source", uid: str = "uid", pos: str = "pos", value: str = "score", vote: str | None = None, draws: int = 1000, seed: int = 42, hashed: bool = False) -> DataFrame:
     """``data_source, metric, value``: mean@n and std@n of each prompt's answers, and mean
     and deviation of the best, the worst and the majority's value of k of them, from
@@ -154,14 +161,14 @@ def validation_metrics(samples: DataFrame, source: str = "data_source", uid: str
     Draws depend on (n, k, seed) alone, so each task makes the index tables it needs once;
     ``hashed`` takes them from hashes of (seed, n, k, draw, place), on which other engines
     agree, in place of the random generator. Majorities are found from the counts of votes;
-    of equally frequent votes, that drawn first."""
+    of equally frequent votes, that drawn first. Prompts of as many answers are drawn
+    together; a figure that is undefined is left out of the mean."""
     item = F.struct(pos, F.col(value).cast("double").alias("v"), (F.col(vote) if vote else F.lit(None)).cast("string").alias("p"))
-    groups = samples.groupBy(source, uid).agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    @F.pandas_udf("array<struct<metric:string,value:double>>")
-    def summarise(column):
-        import pandas as pd
+    groups = samples.groupBy(source, uid).agg(F.array_sort(F.collect_list(item)).alias("items")).select(source, "items.v", "items.p")
+    schema = T.StructType([T.StructField(source, samples.schema[source].dataType), T.StructField("metric", T.StringType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
 
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict = {}
 
         def table(n: int, k: int) -> np.ndarray:
@@ -174,30 +181,55 @@ def validation_metrics(samples: DataFrame, source: str = "data_source", uid: str
             return tables[n, k]
 
         def most(votes: np.ndarray, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-            picked, kinds = votes[rows], int(votes.max()) + 1
-            line = np.arange(draws)[:, None]
-            counts = np.bincount((line * kinds + picked).ravel(), minlength=draws * kinds).reshape(draws, kinds)
-            return values[rows[np.arange(draws), counts[line, picked].argmax(axis=1)]]
-
-        out = []
-        for items in column:
-            v = np.array([i["v"] for i in items], float)
-            n = len(v)
-            told = [(f"mean@{n}", v.mean())]
-            if n > 1:
-                told.append((f"std@{n}", v.std()))
-                votes = np.unique([str(i["p"]) for i in items], return_inverse=True)[1] if vote else None
-                for k in sizes_for(n):
-                    rows = table(n, k)
-                    sets = {"best": v[rows].max(axis=1), "worst": v[rows].min(axis=1)}
-                    if vote:
-                        sets["maj"] = most(votes, rows, v)
-                    told += [(f"{name}@{k}/{stat}", float(fn(x))) for name, x in sets.items() for stat, fn in (("mean", np.mean), ("std", np.std))]
-            out.append([{"metric": m, "value": float(x)} for m, x in told])
-        return pd.Series(out)
-
-    each = groups.select(source, F.explode(summarise("items")).alias("m")).select(source, "m.*")
-    return each.groupBy(source, "metric").agg(F.avg("value").alias("value"))
+            many, n = votes.shape
+            kinds = (votes[:, :, None] == votes[:, None, :]).argmax(axis=2)  # a vote is known by its first place
+            at = np.arange(many * draws).reshape(many, draws, 1) * n + kinds[:, rows]
+            first = np.bincount(at.ravel(), minlength=many * draws * n)[at].argmax(axis=2)
+            return values[np.arange(many)[:, None], rows[np.arange(draws), first]]
+
+        def figures(v: np.ndarray, votes: np.ndarray | None) -> Iterator[tuple[str, np.ndarray]]:
+            """Each figure of all prompts with ``n`` answers (rows of ``v``)."""
+            n = v.shape[1]
+            yield f"mean@{n}", v.mean(axis=1)
+            if n == 1:
+                return
+            yield f"std@{n}", v.std(axis=1)
+            for k in sizes_for(n):
+                rows, told = table(n, k), {}
+                step = max(1, MOST_DRAWN // max(draws * n, n * n))
+                for i in range(0, len(v), step):
+                    some = v[i : i + step]
+                    drawn = some[:, rows]
+                    sets = {"best": drawn.max(axis=2), "worst": drawn.min(axis=2)}
+                    if votes is not None:
+                        sets["maj"] = most(votes[i : i + step], rows, some)
+                    for name, x in sets.items():
+                        told.setdefault(f"{name}@{k}/mean", []).append(x.mean(axis=1))
+                        told.setdefault(f"{name}@{k}/std", []).append(x.std(axis=1))
+                yield from ((name, np.concatenate(x)) for name, x in told.items())
+
+        for batch in batches:
+            origin = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, size = origin.indices.to_numpy(), len(origin.dictionary)
+            counts = batch.column(1).value_lengths().to_numpy()
+            starts, values = np.cumsum(counts) - counts, batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            votes = batch.column(2).flatten().fill_null("None").dictionary_encode().indices.to_numpy() if vote else None
+            out: dict[str, list] = {f.name: [] for f in arrow}
+            for n in np.unique(counts):
+                own = np.flatnonzero(counts == n)
+                at = starts[own][:, None] + np.arange(n)
+                for metric, x in figures(values[at], votes[at] if vote else None):
+                    known = ~np.isnan(x)
+                    there = np.unique(codes[own])
+                    totals = np.bincount(codes[own][known], x[known], minlength=size)[there]
+                    out[source] += origin.dictionary.take(pa.array(there)).to_pylist()
+                    out["metric"] += [metric] * len(there)
+                    out["total"] += totals.tolist()
+                    out["n"] += np.bincount(codes[own][known], minlength=size)[there].tolist()
+            yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    each = groups.mapInArrow(summarise, schema)
+    return each.groupBy(source, "metric").agg(F.when(F.sum("n") > 0, F.sum("total") / F.sum("n")).alias("value"))
 
 
 def core_or_aux(metrics: DataFrame, source: str = "data_source") -> DataFrame:

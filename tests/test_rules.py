@@ -343,3 +343,23 @@ def test_pretokenized_rows(spark):
     pair = spark.createDataFrame([([1], [2, 3], [4])], "prompt_ids array<int>, chosen_ids array<int>, rejected_ids array<int>")
     row = datasets.reward_pairs(pair, 3, 0).first()
     assert row.input_ids == [[1, 2, 3], [1, 4, 0]] and row.attention_mask == [[1, 1, 1], [1, 1, 0]]
+
+
+def test_validation_draws_many_prompts_together(spark, monkeypatch):
+    rows = [("s" if u % 3 else None, u, i, "ABC"[(u * i) % 3], None if u == 7 else float((u * 13 + i * 7) % 11)) for u in range(40) for i in range(1 + u % 5)]
+    df = spark.createDataFrame(rows, "data_source string, uid long, pos long, pred string, score double")
+    want = {}
+    for source, uid in {r[:2] for r in rows} - {("s", 7)}:
+        v, votes = (np.array([r[j] for r in rows if r[1] == uid]) for j in (4, 3))
+        for k in metrics.sizes_for(len(v)):
+            for draw in (drawn := np.random.RandomState(42).choice(len(v), size=(30, k))):
+                said = votes[draw].tolist()
+                want.setdefault((source, f"maj@{k}/mean", uid), []).append(v[draw[said.index(max(said, key=said.count))]])
+            want[source, f"best@{k}/std", uid] = v[drawn].max(axis=1).std()
+    each = {}
+    for (source, metric, _), x in want.items():
+        each.setdefault((source, metric), []).append(np.mean(x))
+    for held in (metrics.MOST_DRAWN, 1):
+        monkeypatch.setattr(metrics, "MOST_DRAWN", held)
+        got = {(r.data_source, r.metric): r.value for r in metrics.validation_metrics(df, vote="pred", draws=30).collect()}
+        assert all(np.isclose(got[k], np.mean(x)) for k, x in each.items()) and got["s", "mean@3"] is not None
