@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from rolloom.llm import jaccard_join
@@ -85,6 +86,26 @@ def test_pairs_walked_grow_with_a_family(spark, monkeypatch):
     assert all(n < 200 * size for n, size in zip(walked, (200, 400, 800), strict=True)), walked  # was 850, 1900, 3900 a text
 
 
+def test_pairs_within_a_component_are_not_compared(spark, monkeypatch):
+    """Two groups of sets that all link, and all pairs: links that others imply need no comparison."""
+    tried, inner = [], jaccard_join._compare
+
+    def counting(pairs, sets):
+        tried.append(pairs.count())
+        return inner(pairs, sets)
+
+    monkeypatch.setattr(jaccard_join, "_compare", counting)
+    monkeypatch.setattr(jaccard_join, "FEW", 20)
+    rows = [(100 * g + i, bytearray(np.arange(1000 * g + i, 1000 * g + i + 400, dtype=np.uint64).tobytes()), 400) for g in (0, 1) for i in range(30)]
+    sets = spark.createDataFrame(rows, "cls long, shingles binary, n long").coalesce(1)
+    ids = [r[0] for r in rows]
+    pairs = spark.createDataFrame([(a, b, 400 - b + a if b - a < 30 else 1) for a in ids for b in ids if a < b], "a long, b long, n long").coalesce(1)
+    none = spark.createDataFrame([], "node long, root long")
+    labels = {r.node: r.root for r in jaccard_join._joined(pairs, none, sets, 80).collect()}
+    assert {labels[i] for i in ids if i < 100} == {0} and {labels[i] for i in ids if i >= 100} == {100}
+    assert sum(tried) < 1200  # 870 pairs link, 900 lie between the groups; all 1770 were compared
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_nearer_hubs_lose_no_link(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard_join, "GROUP_PAIRS", 1)  # every group of some size gets a nearer hub
